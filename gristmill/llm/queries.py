@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan, token_counts
-from .common import table
+from . import exact_dedup, labelled, language_id, packing, secret_scan, token_counts, toxicity
+from .common import in_fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,7 +27,34 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_exact_dedup, op5_token_counts)}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), in_fold(4, 2)
+    rows = labelled.sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held, toxicity.SAMPLE)
+    scored = toxicity.score(docs, toxicity.train(rows["text"].tolist(), rows["y"].to_numpy(dtype=float)))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), in_fold(3, 1)
+    found = language_id.identify(docs, language_id.train(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_secret_scan,
+        op4_exact_dedup,
+        op5_token_counts,
+        op7_packing,
+        op8_toxicity,
+        op9_language_id,
+    )
+}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
