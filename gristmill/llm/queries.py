@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, labelled, language_id, packing, secret_scan, token_counts, toxicity
+from . import exact_dedup, labelled, language_id, packing, quality, secret_scan, token_counts, toxicity
 from .common import in_fold, table
 
 
@@ -19,6 +19,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), in_fold(4, 2)
+    rows = labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held, quality.SAMPLE)
+    scored = quality.score(docs, quality.train(rows["text"].tolist(), rows["y"].to_numpy()))
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents")).drop("bucket")
 
@@ -48,6 +55,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_secret_scan,
+        op3_quality,
         op4_exact_dedup,
         op5_token_counts,
         op7_packing,
