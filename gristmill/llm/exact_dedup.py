@@ -69,9 +69,8 @@ def find_copies(docs: DataFrame, key_hex: int = 64, capacity: int | None = None)
     directory = spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int")
     index = index.withColumn("slot", slot).join(F.broadcast(directory), "slot").drop("slot", "prefix")
 
-    # owners compare the bytes of every key that occurs more than once
-    again = index.where("size > 1").select("key", "bucket")
-    links = rows.select(text.alias("text"), key(sha).alias("key")).join(again, "key").groupBy("bucket", "key", "text").count()
+    # owners compare the bytes of a key's texts; copies meet before the shuffle
+    links = rows.select(text.alias("text"), key(sha).alias("key")).groupBy("key", "text").agg(F.count("*").alias("n"))
     split = links.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     split = store(split, "dedup-chains")
     whole = entries.join(index.select("key", "keep", "size", "bucket"), "key")
