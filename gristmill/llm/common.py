@@ -52,6 +52,22 @@ def in_fold(mod: int, rest: int) -> Column:
     return F.coalesce(crc % F.lit(mod) == F.lit(rest), F.lit(False))
 
 
+#: Ids that are broadcast to pick rows out; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def pick(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of docs whose doc_id is (keep) or is not in ids, which has that one column."""
+    ids = store(ids.select(F.col("doc_id").alias("_id")).distinct(), "picked")
+    few = ids.count() <= BROADCAST_IDS
+    how = "left_semi" if keep else "left_anti"
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+
+
+def distinct_ids(docs: DataFrame) -> bool:
+    return not docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, pick
 from .textkernel import seeded
 
 Q = 8
@@ -220,3 +220,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: float
         return docs.mapInArrow(run, "doc_id bigint, item_id bigint, distance int, start int, end int")
 
     return reduce(DataFrame.unionByName, map(over, blocks(benchmark, min_length)))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs in which no item is found, with all their columns."""
+    return pick(docs, find_leaks(docs, benchmark, **options).select("doc_id"), keep=False)

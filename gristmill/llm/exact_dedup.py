@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, parts, store
+from .common import distinct_ids, id_and_text, parts, pick, store
 
 #: Leading bits the directory may use: at most 2**DEPTH counts reach the driver.
 DEPTH = 16
@@ -96,10 +96,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
     Rows are matched by doc_id; of rows that are equal in doc_id and text one stays."""
-    stays = find_copies(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return joined if not _repeated(docs) else joined.dropDuplicates(["doc_id", "text"])
-
-
-def _repeated(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    found = store(find_copies(docs).select("doc_id", "kept"), "dedup-kept")
+    if distinct_ids(found):
+        return pick(docs, found.where("not kept"), keep=False)
+    return pick(docs, found.where("kept")).dropDuplicates(["doc_id", "text"])

@@ -241,3 +241,15 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang_pred", "score", "spans"][: 3 + with_spans])
 
     return id_and_text(docs).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is not `und`, with all their columns. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            got = label_texts(batch.column("text").to_pylist(), shared.value)
+            yield batch.filter(pa.array([g[0] != "und" for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, id_and_text, parts, shared_dir, store
+from .common import components, distinct_ids, drop, id_and_text, parts, pick, shared_dir, store
 from .textkernel import set_key, shingle_sets
 
 K = 5
@@ -392,8 +392,11 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = K) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component, with all their columns."""
-    found = join(docs, k)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    stays = stays.withColumnRenamed("doc_id", "_id")
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The rows of docs whose doc_id is the least of its component, with all their columns.
+
+    doc_id names a document: of rows with equal doc_id and text one stays."""
+    found = store(join(docs, k).select("doc_id", "component_id"), "join-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    if distinct_ids(found):
+        return pick(docs, found.where(~same), keep=False)
+    return pick(docs, found.where(same)).dropDuplicates(["doc_id", "text"])
