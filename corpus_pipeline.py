@@ -1,6 +1,57 @@
-STAGES = []
+"""A training-data pipeline: each stage works on all that its predecessor kept.
+
+Documents without a known language go; of equal texts one stays; of each group
+of near copies one stays; documents that hold a benchmark item go; the rest is
+packed into sequences.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gristmill.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
+from gristmill.llm.common import in_fold, shared_dir, table
+from gristmill.llm.queries import tokenizer_path
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_known(docs, language_id.train(docs, ~in_fold(3, 1)))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", without_copies),
+    ("ngram_join", without_near_copies),
+    ("decontaminate", without_leaks),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies STAGES to documents; what each returns is written below the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
