@@ -12,10 +12,12 @@ longer prefixes cost postings, but each candidate must match l times before it
 is verified.  A pair is held to the smaller l of its two.
 
 Lists of postings up to SHORT long give all their pairs.  A longer list gives
-the pairs of each member with a hub of about its size; after these have been
-verified, members of one component need no more pairs, and only pairs across
-components are made, counted and verified.  So a large group of near copies
-costs pairs in proportion to its size, and no link between components is lost.
+the pairs of each member with a hub of about its size, and then, in two rounds,
+with the nearest member of another component, by 256-bit parity maps.  After
+these have been verified, members of one component need no more pairs, and all
+pairs across components that can link are made, counted and verified.  So a
+large group of near copies costs pairs in proportion to its size, and no link
+between components is lost.
 
 Shingles are compared by 64-bit hashes, classes by 64-bit hashes of sets.
 
@@ -32,7 +34,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, distinct_ids, drop, id_and_text, parts, pick, shared_dir, store
@@ -51,6 +53,8 @@ VERIFY_COST, RARE_MATCHES = 20.0, 0.1
 SHORT = 8
 #: Postings of one frequent shingle that one group holds.
 SALTED = 50_000
+#: Rounds in which each member of a long list is tried with its nearest one, and members compared in one group.
+ROUNDS, BLOCK = 2, 4096
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
 #: Documents whose ids are broadcast to pick them out; more are joined by a shuffle.
@@ -93,20 +97,20 @@ def spill(found: list[np.ndarray], buckets: int):
 
 
 def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Reads docs once: (doc_id, n, cid) of each row, and the shingles' hashes by bucket."""
+    """Reads docs once: (doc_id, n, cid, bits) of each row, and the shingles' hashes by bucket."""
     spark = docs.sparkSession
 
     def run(batches):
         held, count = [], 0
         for batch in batches:
-            ns, cids = [], []
+            ns, cids, bits = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 ns.append(len(s))
+                bits.append(np.packbits(np.bincount(s & np.uint64(255), minlength=256).astype(np.uint8) & 1).tobytes())
                 cids.append(set_key(s))
                 held.append(s >> np.uint64(64 - BITS))
                 count += len(s)
-            none = pa.nulls(len(ns))
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(signed(np.array(cids, dtype=np.uint64))), none.cast(pa.binary())], ["kind", "doc_id", "n", "cid", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(signed(np.array(cids, dtype=np.uint64))), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "cid", "blob"])
             if count >= HELD:
                 yield from blobs(held)
                 held, count = [], 0
@@ -121,7 +125,7 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
     schema = "kind int, doc_id bigint, n bigint, cid bigint, blob binary"
     docs.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
     read = spark.read.schema("doc_id bigint, n bigint, cid bigint, blob binary, kind int").parquet(path)
-    return read.where("kind = 0").select("doc_id", "n", "cid"), read.where("kind = 1").select(F.col("n").cast("int").alias("bucket"), "blob")
+    return read.where("kind = 0").select("doc_id", "n", "cid", F.col("blob").alias("bits")), read.where("kind = 1").select(F.col("n").cast("int").alias("bucket"), "blob")
 
 
 def frequent(blobs: DataFrame, buckets: int) -> pd.DataFrame:
@@ -152,7 +156,7 @@ def choose(n: int, heavy: np.ndarray) -> tuple[int, int]:
             break
         p = base + level
         matches = RARE_MATCHES * min(p, cold) + cost[max(0, p - cold)]
-        total = p + VERIFY_COST * matches / level
+        total = p + matches + VERIFY_COST * matches / level
         if best is None or total < best[0]:
             best = total, level, p
     return best[1], best[2]
@@ -297,7 +301,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     stars = with_degree.select(hub.alias("hub"), other.alias("cid"), F.pmod(F.xxhash64(other), F.ceil(salts)).alias("salt"))
     members = stars.union(stars.select("hub", F.col("hub").alias("cid"), "salt")).distinct()
     wanted = members.groupBy("cid").agg(F.collect_list(F.struct("hub", "salt")).alias("groups"))
-    wanted = store(wanted.join(classes, "cid").select("doc_id", "cid", "groups"), "join-wanted")
+    wanted = store(wanted.join(classes.select("cid", "doc_id"), "cid").select("doc_id", "cid", "groups"), "join-wanted")
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
 
@@ -331,18 +335,56 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     return store(moved.groupBy("hub", "salt").applyInPandas(compare, "x bigint, y bigint"), "join-links")
 
 
-def across(long: DataFrame, label: DataFrame, counted: DataFrame) -> DataFrame:
-    """Pairs of long lists' members in different components, with enough matches, not yet verified."""
+def differing(a: str, b: str) -> Column:
+    """Bits in which two 256-bit maps of set parities differ: no more than the elements in only one of the sets."""
+    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(4)), F.lit(0))
+
+
+MAP = ["w0", "w1", "w2", "w3"]
+
+
+def by_component(long: DataFrame, label: DataFrame) -> DataFrame:
+    """The long lists that have members of several components, with each member's component as root."""
     rows = long.join(label.select(F.col("id").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    rows = store(rows.select("token", "x", "n", "level", "enters", "root"), "join-long")
     by_root = rows.groupBy("token", "root").agg(F.count("*").alias("members"))
     split = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("members", "root")).alias("big")).where("roots > 1")
-    rows = rows.join(split.select("token", F.col("big.root").alias("big")), "token")
-    a = rows.where("root <> big").select("token", "root", *(F.col(c).alias(f"a_{c}") for c in ("x", "n", "level", "enters")))
-    b = rows.select("token", F.col("root").alias("b_root"), (F.col("root") == F.col("big")).alias("in_big"), *(F.col(c).alias(f"b_{c}") for c in ("x", "n", "level", "enters")))
+    return store(rows.join(split.select("token", F.col("big.root").alias("big")), "token"), "join-long")
+
+
+def nearest(key, rows):
+    """For each member of a block of a list, the member of another component with the nearest parity map, if the two can link."""
+    n = rows["n"].to_numpy()
+    x, root = rows["x"].to_numpy(), rows["root"].to_numpy()
+    maps = np.column_stack([rows[c].to_numpy().view(np.uint64) for c in MAP])
+    xs, ys = [], []
+    for a in range(0, len(x), 256):
+        own = slice(a, a + 256)
+        bits = np.zeros((len(x[own]), len(x)), dtype=np.int64)
+        for c in range(4):
+            bits += np.bitwise_count(maps[own, c][:, None] ^ maps[:, c])
+        total = n[own][:, None] + n
+        ok = near_size(n[own][:, None], n) & (root[own][:, None] != root) & (bits * (NUMERATOR + DENOMINATOR) <= total * (DENOMINATOR - NUMERATOR))
+        share = np.where(ok, bits / total, 2.0)
+        best = share.argmin(axis=1)
+        hit = share[np.arange(len(best)), best] < 2
+        xs.append(x[own][hit])
+        ys.append(x[best[hit]])
+    p, q = np.concatenate(xs), np.concatenate(ys)
+    return pa.table({"x": np.minimum(p, q), "y": np.maximum(p, q)})
+
+
+def across(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """Pairs of long lists' members in different components, with enough matches, not yet verified.
+
+    Sets that link differ in no more than a seventh of their elements; where their
+    parity maps differ in more bits, the pair is not made."""
+    own = ["x", "n", "level", "enters", *MAP]
+    a = rows.where("root <> big").select("token", "root", *(F.col(c).alias(f"a_{c}") for c in own))
+    b = rows.select("token", F.col("root").alias("b_root"), (F.col("root") == F.col("big")).alias("in_big"), *(F.col(c).alias(f"b_{c}") for c in own))
     need = F.least("a_level", "b_level")
     size = F.least("a_n", "b_n") * DENOMINATOR >= F.greatest("a_n", "b_n") * NUMERATOR
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("root") != F.col("b_root")) & (F.col("in_big") | (F.col("a_x") < F.col("b_x"))) & size & (F.col("a_enters") <= need) & (F.col("b_enters") <= need))
+    near = differing("a_w", "b_w") * (DENOMINATOR + NUMERATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)
+    met = a.join(b, (a["token"] == b["token"]) & near & (F.col("root") != F.col("b_root")) & (F.col("in_big") | (F.col("a_x") < F.col("b_x"))) & size & (F.col("a_enters") <= need) & (F.col("b_enters") <= need))
     met = met.select(F.least("a_x", "b_x").alias("x"), F.greatest("a_x", "b_x").alias("y"), F.lit(1).alias("matches"), need.alias("need"), F.lit(False).alias("done"))
     counted = counted.select("x", "y", "matches", "need", "done")
     summed = met.unionByName(counted).groupBy("x", "y").agg(F.sum("matches").alias("matches"), F.max("need").alias("need"), F.max("done").alias("done"))
@@ -354,11 +396,11 @@ def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs, buckets = id_and_text(docs), n_buckets(spark)
     described = f"{shared_dir(spark)}/join-rows-{uuid.uuid4().hex}"
-    rows, blobs = describe(docs, k, buckets, described)
+    rows_of, blobs = describe(docs, k, buckets, described)
     hot = frequent(blobs, buckets)
     blobs.stored_at = f"{described}/kind=1"
     drop(blobs)
-    classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows_of.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
 
     found = store(postings(docs, k, buckets, hot).groupBy("bucket", "salt").applyInArrow(matches, "x bigint, y bigint, matches bigint, need int, sure boolean, token bigint, n bigint, level int, enters int"), "join-matches")
     long = found.where("y is null").select("token", "x", "n", "level", "enters")
@@ -370,14 +412,24 @@ def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
         heads = long.groupBy("token").agg(F.min("x").alias("head"))
         more = long.join(heads, "token").where("x <> head").select(F.least("x", "head").alias("x"), F.greatest("x", "head").alias("y"))
         first = first.union(more).distinct()
-    links = verify(docs, classes, first, k)
-    edges = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    label = components(edges)
-    second = store(across(long, label, counted), "join-across")
-    if second.limit(1).count():
-        more = verify(docs, classes, second, k)
-        label = components(edges.union(more.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    return rows, label
+    links = verify(docs, classes, first, k).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    label = components(links)
+    words = [F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("bigint").alias(w) for i, w in enumerate(MAP)]
+    long = store(long.join(classes.select(F.col("cid").alias("x"), *words), "x"), "join-maps")
+    for _ in range(ROUNDS):  # components grow towards their nearest members before all that is left is compared
+        rows = by_component(long, label)
+        blocks = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(1) + F.count("*").over(Window.partitionBy("token")) / BLOCK).cast("bigint"))
+        tried = blocks.groupBy("token", "block").applyInArrow(nearest, "x bigint, y bigint").distinct()
+        tried = store(tried.join(counted.where("done"), ["x", "y"], "left_anti"), "join-nearest")
+        if not tried.limit(1).count():
+            break
+        counted = counted.unionByName(tried.select("x", "y", F.lit(0).alias("matches"), F.lit(0).alias("need"), F.lit(True).alias("sure"), F.lit(True).alias("done")))
+        links = links.union(verify(docs, classes, tried, k))
+        label = components(links)
+    last = store(across(by_component(long, label), counted), "join-across")
+    if last.limit(1).count():
+        label = components(links.union(verify(docs, classes, last, k)))
+    return rows_of, label
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
