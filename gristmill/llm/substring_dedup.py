@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, store
@@ -35,7 +35,8 @@ LEAST, SAME = 50, 0.8
 MARGIN = K + W
 #: Words that two neighbouring seeds of a chain may lie apart, and the price of a word of gap.
 GAP, PRICE = 64, 0.05
-BROADCAST_IDS = 1_000_000
+#: Regions of one class that go to it together, and such groups that are broadcast; more are joined by a shuffle.
+ASKED, BROADCAST_ASKS = 256, 250_000
 HELD = 3_000_000
 
 SEED = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4")])
@@ -292,10 +293,11 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
     low = lambda c: F.greatest(F.col(c) - MARGIN, F.lit(0))
     asks = found.select(F.col("x").alias("cid"), "no", F.lit(0).alias("side"), low("ax").alias("a"), (F.col("bx") + MARGIN).alias("b"))
     asks = asks.union(found.select(F.col("y").alias("cid"), "no", F.lit(1).alias("side"), low("ay").alias("a"), (F.col("by") + MARGIN).alias("b")))
-    # a passage that many pairs ask for in one class is cut out once for each region asked for
-    asks = asks.groupBy("cid", (F.col("no") % 64).alias("salt")).agg(F.collect_list(F.struct("no", "side", "a", "b")).alias("asks"))
+    # a class that very many pairs ask for is asked in parts
+    salt = F.pmod("no", F.ceil(F.count("*").over(Window.partitionBy("cid")) / ASKED))
+    asks = asks.withColumn("salt", salt).groupBy("cid", "salt").agg(F.collect_list(F.struct("no", "side", "a", "b")).alias("asks"))
     asks = store(asks.join(classes, "cid").select("doc_id", "cid", "asks"), "substring-asks")
-    texts = docs.join(F.broadcast(asks) if asks.count() <= BROADCAST_IDS // 4 else asks, "doc_id").select("text", "cid", "asks")
+    texts = docs.join(F.broadcast(asks) if asks.count() <= BROADCAST_ASKS else asks, "doc_id").select("text", "cid", "asks")
 
     def slices(batches):
         for batch in batches:
