@@ -95,8 +95,12 @@ def find_copies(docs: DataFrame, key_hex: int = 64, capacity: int | None = None)
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Rows are matched by doc_id; of rows that are equal in doc_id and text one stays."""
-    found = store(find_copies(docs).select("doc_id", "kept"), "dedup-kept")
+    Rows are matched by doc_id or, where ids repeat, by doc_id and text; of rows
+    that are equal in both one stays."""
+    found = store(find_copies(docs).select("doc_id", "kept", "text_sha256"), "dedup-kept")
     if distinct_ids(found):
         return pick(docs, found.where("not kept"), keep=False)
-    return pick(docs, found.where("kept")).dropDuplicates(["doc_id", "text"])
+    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    with_sha = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha"))
+    return with_sha.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")

@@ -57,6 +57,8 @@ SALTED = 50_000
 ROUNDS, BLOCK = 2, 4096
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
+#: Bytes of sets that a worker hands over at once.
+SETS = 1 << 24
 #: Documents whose ids are broadcast to pick them out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles a task holds before it writes them out.
@@ -307,15 +309,23 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
 
     def sets(batches):
         for batch in batches:
-            cids = batch.column("cid").to_pylist()
-            groups = batch.column("groups").to_pylist()
-            rows = []
-            for cid, own, s in zip(cids, groups, shingle_sets(batch.column("text").to_pylist(), k)):
-                if int(signed(np.array([set_key(s)], dtype=np.uint64))[0]) == cid:  # not another row with this doc_id
-                    blob = s.tobytes()
-                    rows += [(g["hub"], g["salt"], cid, blob) for g in own]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["hub", "salt", "cid", "blob"])
+            rows, held = [], 0
+            for i, (cid, s) in enumerate(zip(batch.column("cid").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k))):
+                if int(signed(np.array([set_key(s)], dtype=np.uint64))[0]) != cid:
+                    continue  # another row with this doc_id
+                blob = s.tobytes()
+                for g in batch.column("groups")[i].as_py():
+                    rows.append((g["hub"], g["salt"], cid, blob))
+                    held += len(blob)
+                    if held > SETS:
+                        yield grouped(rows)
+                        rows, held = [], 0
+            if rows:
+                yield grouped(rows)
+
+    def grouped(rows):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["hub", "salt", "cid", "blob"])
 
     def compare(key, pdf):
         pdf = pdf.drop_duplicates("cid")

@@ -31,8 +31,10 @@ from .textkernel import chunks, mix, windows, words
 
 K, W = 8, 12
 LEAST, SAME = 50, 0.8
-#: Words beyond a chain's ends that are read for its alignment.
-MARGIN = K + W
+#: Words beyond a chain's ends that are read for its alignment, and how far its score may drop there.
+MARGIN, DROP = 48, 8
+#: Bytes of slices, and pairs of them, that a worker holds at once.
+SLICES, PAIRS = 1 << 24, 256
 #: Words that two neighbouring seeds of a chain may lie apart, and the price of a word of gap.
 GAP, PRICE = 64, 0.05
 #: Regions of one class that go to it together, and such groups that are broadcast; more are joined by a shuffle.
@@ -260,17 +262,24 @@ def gap_matches(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def reach(same: np.ndarray) -> tuple[int, int]:
+    """(words, matching ones) that an end grows by: matches count 1, others -3; it stops DROP below the best."""
+    if not len(same):
+        return 0, 0
+    score = np.cumsum(np.where(same, 1, -3))
+    low = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > DROP)
+    score = score[: low[0]] if len(low) else score
+    n = int(np.argmax(score)) + 1 if len(score) and score.max() > 0 else 0
+    return n, int(np.count_nonzero(same[:n]))
+
+
 def align(path: np.ndarray, a: np.ndarray, b: np.ndarray, fa: int, fb: int) -> tuple[int, int, int, int, int]:
     """(start, end in x, start, end in y, matched words) of a chain; a and b are the
     words of x from fa on and of y from fb on."""
     x, y = path[:, 0] - fa, path[:, 1] - fb
     ex, ey = x + path[:, 2], y + path[:, 2]
-    # the first block grows to the left, the last one to the right, those between towards each other
-    n = min(x[0], y[0])
-    differ = np.flatnonzero(a[x[0] - n : x[0]] != b[y[0] - n : y[0]])
-    grow = n - (differ[-1] + 1) if len(differ) else n
-    x[0], y[0] = x[0] - grow, y[0] - grow
-    matched = int(ex[0] - x[0])
+    matched = int(path[0, 2])
+    # blocks grow towards each other, what is left between them is aligned; the ends grow along their diagonals
     for i in range(1, len(path)):
         n = min(x[i] - ex[i - 1], y[i] - ey[i - 1])
         same = a[ex[i - 1] : ex[i - 1] + n] == b[ey[i - 1] : ey[i - 1] + n]
@@ -281,10 +290,11 @@ def align(path: np.ndarray, a: np.ndarray, b: np.ndarray, fa: int, fb: int) -> t
         left = int(n if same.all() else np.argmin(same))
         x[i], y[i] = x[i] - left, y[i] - left
         matched += right + left + int(path[i, 2]) + gap_matches(a[ex[i - 1] : x[i]], b[ey[i - 1] : y[i]])
+    n = min(x[0], y[0])
+    left, more = reach((a[x[0] - n : x[0]] == b[y[0] - n : y[0]])[::-1])
     n = min(len(a) - ex[-1], len(b) - ey[-1])
-    same = a[ex[-1] : ex[-1] + n] == b[ey[-1] : ey[-1] + n]
-    right = int(n if same.all() else np.argmin(same))
-    return int(x[0] + fa), int(ex[-1] + right + fa), int(y[0] + fb), int(ey[-1] + right + fb), matched + right
+    right, most = reach(a[ex[-1] : ex[-1] + n] == b[ey[-1] : ey[-1] + n])
+    return int(x[0] - left + fa), int(ex[-1] + right + fa), int(y[0] - left + fb), int(ey[-1] + right + fb), matched + more + most
 
 
 def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int, same: float) -> DataFrame:
@@ -301,16 +311,24 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
 
     def slices(batches):
         for batch in batches:
-            rows, last, h = [], None, None
+            rows, held, last, h = [], 0, None, None
             texts = batch.column("text")
-            for i, (cid, asked) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("asks").to_pylist())):
+            for i, cid in enumerate(batch.column("cid").to_pylist()):
                 if cid != last:
                     h, last = next(word_hashes([texts[i].as_py()])), cid
                     mine = int(signed(np.array([text_key(h)], dtype=np.uint64))[0]) == cid
-                if mine:
-                    rows += [(q["no"], q["side"], q["a"], h[q["a"] : q["b"]].tobytes()) for q in asked]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["no", "side", "a", "slice"])
+                for q in batch.column("asks")[i].as_py() if mine else ():
+                    rows.append((q["no"], q["side"], q["a"], h[q["a"] : q["b"]].tobytes()))
+                    held += len(rows[-1][3])
+                    if held > SLICES:
+                        yield sliced(rows)
+                        rows, held = [], 0
+            if rows:
+                yield sliced(rows)
+
+    def sliced(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["no", "side", "a", "slice"])
 
     cut = texts.mapInArrow(slices, "no bigint, side int, a int, slice binary").dropDuplicates(["no", "side"])
     left = cut.where("side = 0").select("no", F.col("a").alias("fa"), F.col("slice").alias("left"))
@@ -320,7 +338,7 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
     def run(batches):
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
+            for r in (r for k in range(0, batch.num_rows, PAIRS) for r in batch.slice(k, PAIRS).to_pylist()):
                 a, b = (np.frombuffer(r[c], dtype=np.uint64) for c in ("left", "right"))
                 path = np.frombuffer(r["path"], dtype="<i4").reshape(-1, 3).astype(np.int64)
                 ax, bx, ay, by, n = align(path, a, b, r["fa"], r["fb"])
