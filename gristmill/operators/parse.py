@@ -7,7 +7,6 @@ Arrow batches.  Nothing shuffles.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -60,12 +59,8 @@ def _nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
-def from_messy_json(text: Column | str, schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False) -> Column:
-    """STRUCT<value, error, winner[, candidates]>: text coerced to schema.
-
-    mode `basic` takes exact field names, `fuzzy` near ones; strategies are names
-    or (function, priority) pairs.  Exactly one of value and error is null, but
-    for a null text, which gives a null."""
+def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False):
+    """The Arrow function of one text column behind from_messy_json()."""
     schema = S.parse(schema)
     shape = S.of(schema)
     out = result_type(schema, with_candidates)
@@ -86,7 +81,16 @@ def from_messy_json(text: Column | str, schema: T.DataType | str, mode: str = "f
         return _to_arrow(rows, out)
 
     # deterministic, but a filter on the result must not run it a second time
-    return run.asNondeterministic()(col(text))
+    return run.asNondeterministic()
+
+
+def from_messy_json(text: Column | str, schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False) -> Column:
+    """STRUCT<value, error, winner[, candidates]>: text coerced to schema.
+
+    mode `basic` takes exact field names, `fuzzy` near ones; strategies are names
+    or (function, priority) pairs.  Exactly one of value and error is null, but
+    for a null text, which gives a null."""
+    return parser(schema, mode, strategies, with_candidates, full_provenance)(col(text))
 
 
 def is_plain(schema: T.DataType) -> bool:
@@ -176,20 +180,14 @@ def explanation(candidate: Column | str) -> Column:
     )
 
 
-def register(spark: SparkSession) -> None:
-    """SQL names: from_messy_json(text, ddl, mode) gives JSON; messy_candidates(text) is a
-    table function for LATERAL; clean_json(text) is the best reading as canonical JSON."""
+def register_parser(spark: SparkSession, name: str, schema: T.DataType | str, **options) -> None:
+    """A SQL function name(text) for one schema; it gives what from_messy_json() does."""
+    spark.udf.register(name, parser(schema, **options))
 
-    @F.arrow_udf(T.StringType())
-    def typed(texts: pa.Array, schemas: pa.Array, modes: pa.Array) -> pa.Array:
-        shapes: dict = {}
-        rows = []
-        for text, ddl, mode in zip(texts.to_pylist(), schemas.to_pylist(), modes.to_pylist()):
-            if ddl not in shapes:
-                shapes[ddl] = S.of(S.parse(ddl))
-            value = None if text is None else from_text(text, shapes[ddl], mode or "fuzzy")[0]
-            rows.append(None if value is None else json.dumps(value, ensure_ascii=False))
-        return pa.array(rows, pa.string())
+
+def register(spark: SparkSession) -> None:
+    """SQL names: clean_json(text) is the best reading as canonical JSON;
+    messy_candidates(text) is a table function of all readings, for LATERAL."""
 
     @F.arrow_udf(T.StringType())
     def clean(texts: pa.Array) -> pa.Array:
@@ -202,6 +200,5 @@ def register(spark: SparkSession) -> None:
             for i, c in enumerate(C.parse(text) if text is not None else []):
                 yield i, jsontext.write(c.value), c.source, c.fixes, C.score(c)
 
-    spark.udf.register("from_messy_json", typed)
     spark.udf.register("clean_json", clean)
     spark.udtf.register("messy_candidates", Candidates)
