@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+
 from . import jsontext
 from .repair import FIXES, STRING, outside, repair, double_escaped, trailing_commas
 
@@ -71,8 +73,10 @@ def preclean(text: str) -> str:
 def spans(text: str, opener: str, quotes: str) -> list[tuple[int, int]]:
     """Balanced spans, left to right: strings (any of the quotes starts and ends one) are skipped inside."""
     closer = {"{": "}", "[": "]"}[opener]
-    tokens = re.compile(rf"(?P<escape>\\.)|(?P<quote>[{quotes}])|[\{opener}\{closer}]", re.S)
     found, at = [], text.find(opener)
+    if at < 0:
+        return found
+    tokens = re.compile(rf"(?P<escape>\\.)|(?P<quote>[{quotes}])|[\{opener}\{closer}]", re.S)
     while at >= 0:
         level, inside, end, place = 0, False, -1, at
         while m := tokens.search(text, place):
@@ -419,13 +423,16 @@ def parse(text: str, strategies: Iterable[str | tuple[Strategy, int]] | None = N
 BASE = {"Direct": 0, "Markdown": 10, "Yaml": 15, "Fixed": 20, "MultiJsonArray": 25, "MultiJson": 30, "Heuristic": 50}
 
 
-def score(c: Candidate, by_depth: bool = False) -> int:
-    import numpy as np
+_lost: dict[float, int] = {}  # hundredths of confidence lost, in single precision
+
 
+def score(c: Candidate, by_depth: bool = False) -> int:
     total = BASE[c.source] + sum(FIXES[f][1] for f in c.fixes) * (c.source == "Fixed")
     penalties = sum(t["penalty"] for t in c.transformations)
     total += penalties * 10**c.max_depth if by_depth else penalties
-    return total + int((np.float32(1) - np.float32(c.confidence)) * np.float32(100))
+    if c.confidence not in _lost:
+        _lost[c.confidence] = int((np.float32(1) - np.float32(c.confidence)) * np.float32(100))
+    return total + _lost[c.confidence]
 
 
 def rank(found: list[Candidate]) -> list[Candidate]:
@@ -434,8 +441,6 @@ def rank(found: list[Candidate]) -> list[Candidate]:
 
 def transform(c: Candidate, t: dict, at_depth: int | None = None) -> None:
     """Notes a transformation: each multiplies the confidence by 0.95."""
-    import numpy as np
-
     c.transformations.append(t)
     c.confidence = float(np.float32(c.confidence) * np.float32(0.95))
     if at_depth is not None:

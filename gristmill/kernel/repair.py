@@ -18,8 +18,23 @@ STRING = r'"(?:[^"\\]|\\.)*(?:"|\Z)'
 ATTEMPTS = 10
 
 
+_KEYS = re.compile(r"([{,]\s*)([^\W\d]\w*)\s*(?=:)")
+_TRAILING = re.compile(r",(?=\s*[}\]])")
+_QUOTES = re.compile(r"""\\.?|["']""", re.S)
+_TOKENS = re.compile(rf"{STRING}|[{{}}\[\]]", re.S)
+_WHOLE = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+_SPACE = re.compile(r"\s*")
+_COMMENT = re.compile(rf"\\.|{STRING}|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+_STRING = re.compile(STRING, re.S)
+_HEX = re.compile(r"0[xX]([0-9a-fA-F]+)")
+_VALUE = r'(?P<colon>:\s*)(?P<value>(?![\s"{\[tfn,}\]])[^,}\]\n]+)'
+_patterns: dict[str, re.Pattern] = {}
+
+
 def outside(pattern: str, change: Callable[[re.Match], str], text: str) -> str | None:
     """Changes what matches outside strings; None if nothing did."""
+    if pattern not in _patterns:
+        _patterns[pattern] = re.compile(rf"(?P<string>{STRING})|{pattern}", re.S)
     hit = False
 
     def one(m: re.Match) -> str:
@@ -30,7 +45,7 @@ def outside(pattern: str, change: Callable[[re.Match], str], text: str) -> str |
         hit |= new != m[0]
         return new
 
-    new = re.sub(rf"(?P<string>{STRING})|{pattern}", one, text, flags=re.S)
+    new = _patterns[pattern].sub(one, text)
     return new if hit else None
 
 
@@ -39,17 +54,19 @@ def changed(old: str, new: str) -> str | None:
 
 
 def unquoted_keys(text: str) -> str | None:
-    return changed(text, re.sub(r"([{,]\s*)([^\W\d]\w*)\s*(?=:)", r'\1"\2"', text))
+    return changed(text, _KEYS.sub(r'\1"\2"', text))
 
 
 def trailing_commas(text: str) -> str | None:
-    return changed(text, re.sub(r",(?=\s*[}\]])", "", text))
+    return changed(text, _TRAILING.sub("", text))
 
 
 def single_quotes(text: str) -> str | None:
     """A quote opens a string after one of : [ { , or before one of } ] , : — else it is an apostrophe."""
+    if "'" not in text:
+        return None
     out, inside, last = [], "", 0
-    for m in re.finditer(r"""\\.?|["']""", text, re.S):
+    for m in _QUOTES.finditer(text):
         at, mark = m.start(), m[0]
         if mark[0] == "\\" and not inside:
             # outside strings a backslash is an ordinary character
@@ -68,11 +85,11 @@ def single_quotes(text: str) -> str | None:
 
 def missing_commas(text: str) -> str | None:
     out, last, depth = [], 0, 0
-    for m in re.finditer(rf"{STRING}|[{{}}\[\]]", text, re.S):
+    for m in _TOKENS.finditer(text):
         mark = m[0]
         depth += 1 if mark in "{[" else -1 if mark in "}]" else 0
         closed = mark in "}]" or mark[0] == '"' and len(mark) > 1 and mark[-1] == '"'
-        rest = re.compile(r"\s*").match(text, m.end()).end()
+        rest = _SPACE.match(text, m.end()).end()
         if closed and depth > 0 and text[rest : rest + 1] in ('"', "{", "["):
             out += [text[last:rest], ","]
             last = rest
@@ -82,10 +99,10 @@ def missing_commas(text: str) -> str | None:
 def unclosed(text: str) -> str | None:
     """Closes an open string, then all brackets, then all braces."""
     level, opened = {"{": 0, "[": 0}, False
-    for m in re.finditer(rf"{STRING}|[{{}}\[\]]", text, re.S):
+    for m in _TOKENS.finditer(text):
         mark = m[0]
         if mark[0] == '"':
-            opened = not re.fullmatch(r'"(?:[^"\\]|\\.)*"', mark, re.S)
+            opened = not _WHOLE.fullmatch(mark)
         elif mark in level:
             level[mark] += 1
         else:
@@ -96,6 +113,8 @@ def unclosed(text: str) -> str | None:
 
 
 def comments(text: str) -> str | None:
+    if "/" not in text:
+        return None
     hit = False
 
     def one(m: re.Match) -> str:
@@ -105,7 +124,7 @@ def comments(text: str) -> str | None:
             return ""
         return m[0]
 
-    new = re.sub(rf"\\.|{STRING}|//[^\n]*|/\*.*?(?:\*/|\Z)", one, text, flags=re.S)
+    new = _COMMENT.sub(one, text)
     return new if hit else None
 
 
@@ -148,11 +167,13 @@ def hex_numbers(text: str) -> str | None:
         value = int(m[1], 16)
         return str(value) if value < 1 << 64 else m[0]
 
-    return changed(text, re.sub(r"0[xX]([0-9a-fA-F]+)", one, text))
+    return changed(text, _HEX.sub(one, text))
 
 
 def raw_newlines(text: str) -> str | None:
-    return changed(text, re.sub(STRING, lambda m: m[0].replace("\n", "\\n").replace("\r", "\\r"), text, flags=re.S))
+    if "\n" not in text and "\r" not in text:
+        return None
+    return changed(text, _STRING.sub(lambda m: m[0].replace("\n", "\\n").replace("\r", "\\r"), text))
 
 
 def functions(text: str) -> str | None:
@@ -197,7 +218,7 @@ def unquoted_values(text: str) -> str | None:
         value = m["value"].strip()
         return f'{m["colon"]}"{value}"' if value and not m["value"][0].isnumeric() else m[0]
 
-    return outside(r'(?P<colon>:\s*)(?P<value>(?![\s"{\[tfn,}\]])[^,}\]\n]+)', one, text)
+    return outside(_VALUE, one, text)
 
 
 #: code: (repair, penalty, description). Codes, penalties and descriptions.
@@ -234,29 +255,34 @@ TOGETHER = [
 SEQUENCE = "JavaScriptFunctions DoubleEscaped FieldNormalization SmartQuotes TemplateLiterals Comments UnescapedNewlines HexNumbers UnquotedKeys SingleQuotes MissingCommas UnclosedBraces TrailingCommas".split()
 
 
-def apply(text: str, codes) -> tuple[str, list[str]]:
-    used = []
-    for code in codes:
-        new = FIXES[code][0](text)
-        if new is not None:
-            text = new
-            used.append(code)
-    return text, used
-
-
 def repair(text: str, attempts: int = ATTEMPTS) -> list[tuple[Any, list[str]]]:
-    """(value, repairs) of every set of repairs that makes text JSON, in the order tried."""
+    """(value, repairs) of every set of repairs that makes text JSON, in the order tried.
+
+    Sets share members, so what a repair makes of a text, and what a text reads as,
+    is worked out once."""
+    made: dict[tuple[str, str], str | None] = {}
+    values: dict[str, Any] = {}
     found = []
     left = attempts
     for codes in [*((c,) for c in ALONE), *TOGETHER, SEQUENCE]:
         if left <= 0 or codes is SEQUENCE and found:
             break
-        new, used = apply(text, codes)
+        new, used = text, []
+        for code in codes:
+            key = code, new
+            if key not in made:
+                made[key] = FIXES[code][0](new)
+            if made[key] is not None:
+                new = made[key]
+                used.append(code)
         if not used:
             continue
         left -= 1
-        try:
-            found.append((jsontext.read(new), used))
-        except ValueError:
-            pass
+        if new not in values:
+            try:
+                values[new] = (jsontext.read(new),)
+            except ValueError:
+                values[new] = None
+        if values[new]:
+            found.append((values[new][0], used))
     return found

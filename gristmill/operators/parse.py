@@ -43,8 +43,9 @@ def _to_arrow(rows: list, kind: T.DataType) -> pa.Array:
     return pa.array(rows, to_arrow_type(kind))
 
 
-def result_type(schema: T.DataType, with_candidates: bool) -> T.StructType:
-    fields = [T.StructField("value", _nullable(schema)), T.StructField("error", ERROR), T.StructField("winner", CANDIDATE)]
+def result_type(schema: T.DataType, with_candidates: bool, provenance: bool = True) -> T.StructType:
+    fields = [T.StructField("value", _nullable(schema)), T.StructField("error", ERROR)]
+    fields += [T.StructField("winner", CANDIDATE)] * provenance
     return T.StructType(fields + [T.StructField("candidates", T.ArrayType(CANDIDATE))] * with_candidates)
 
 
@@ -59,11 +60,12 @@ def _nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
-def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False):
-    """The Arrow function of one text column behind from_messy_json()."""
+def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False, provenance: bool = True):
+    """The Arrow function of one text column behind from_messy_json(); without
+    provenance the winner is not written out."""
     schema = S.parse(schema)
     shape = S.of(schema)
-    out = result_type(schema, with_candidates)
+    out = result_type(schema, with_candidates, provenance)
     chosen = None if strategies is None else list(strategies)
 
     @F.arrow_udf(out)
@@ -74,7 +76,9 @@ def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable |
                 rows.append(None)
                 continue
             value, winner, ranked, error = from_text(one, shape, mode, chosen, full_provenance)
-            row = {"value": value, "error": error and {"code": error.code, "message": str(error)}, "winner": winner and candidate_row(winner)}
+            row = {"value": value, "error": error and {"code": error.code, "message": str(error)}}
+            if provenance:
+                row["winner"] = winner and candidate_row(winner)
             if with_candidates:
                 row["candidates"] = [candidate_row(c) for c in ranked]
             rows.append(row)
@@ -104,7 +108,7 @@ def parse_column(df: DataFrame, text: str, schema: T.DataType | str, out: str =
     read by from_json, and the kernel sees nulls instead of them."""
     schema = S.parse(schema)
     if not fast or not is_plain(schema):
-        parsed = df.withColumn("_messy", from_messy_json(text, schema, mode, **options))
+        parsed = df.withColumn("_messy", parser(schema, mode, provenance=False, **options)(F.col(text)))
         return parsed.withColumn(out, F.col("_messy.value")).withColumn(f"{out}_error", F.col("_messy.error")).drop("_messy")
     clean = F.when(is_clean(text), strip_invisible(text))
     names = [f.name for f in schema.fields]
@@ -115,7 +119,7 @@ def parse_column(df: DataFrame, text: str, schema: T.DataType | str, out: str =
         whole &= F.col("_native").getField(name).isNotNull()
     typed = typed.withColumn("_native", F.when(whole, F.col("_native")))
     masked = F.when(F.col("_native").isNull(), F.col(text))
-    typed = typed.withColumn("_messy", from_messy_json(masked, schema, mode, **options))
+    typed = typed.withColumn("_messy", parser(schema, mode, provenance=False, **options)(masked))
     value = F.coalesce("_native", F.col("_messy.value"))
     return typed.withColumn(out, value).withColumn(f"{out}_error", F.col("_messy.error")).drop("_native", "_messy")
 
