@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,23 +81,30 @@ def kept(name: str, make):
     return held[name]
 
 
+#: Edges that one task joins up by itself; more are joined by rounds over all tasks.
+FEW_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(id, root): the least id that links reach, for every id in edges (a, b).
 
-    Rounds of least-neighbour hooking and pointer jumping over tables in the
+    Up to FEW_EDGES edges (counted first, 16 bytes each) go through one task.  More
+    take rounds of least-neighbour hooking and pointer jumping over tables in the
     shared folder, until no label changes; the number of rounds grows with the
-    logarithm of the longest path.  A hub is pre-aggregated by the partial
+    logarithm of the longest path, and a hub is pre-aggregated by the partial
     minimum before each shuffle."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = store(both.where("a <> b").distinct(), tag)
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = store(edges, tag)
+    if edges.count() <= FEW_EDGES:
+        return store(edges.coalesce(1).mapInArrow(union_find, "id bigint, root bigint"), tag)
+    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")), tag)
     while True:
         seen = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         hooked = label.join(seen, "id").select("id", "root", F.least("root", "near").alias("new"))
         # the root of a label hooks to the least label that any of its members sees
         by_root = hooked.groupBy(F.col("root").alias("id")).agg(F.min("new").alias("best"))
-        up = hooked.join(by_root, "id", "left").select("id", "root", F.least("new", "best").alias("new"))
-        up = store(up, tag)
+        up = store(hooked.join(by_root, "id", "left").select("id", "root", F.least("new", "best").alias("new")), tag)
         jump = up.select(F.col("id").alias("new"), F.col("new").alias("next"))
         far = store(up.join(jump, "new", "left").select("id", "root", F.least("new", "next").alias("new")), tag)
         changed = far.where("new <> root").limit(1).count()
@@ -105,5 +113,27 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         label = far.select("id", F.col("new").alias("root"))
         label.stored_at = far.stored_at
         if not changed:
-            drop(both)
             return label
+
+
+def union_find(batches):
+    """(id, root) of all edges (a, b) of one task."""
+    parent: dict[int, int] = {}
+    for batch in batches:
+        for pair in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            tops = []
+            for x in pair:
+                path = []
+                while (up := parent.setdefault(x, x)) != x:
+                    path.append(x)
+                    x = up
+                for y in path:
+                    parent[y] = x
+                tops.append(x)
+            parent[max(tops)] = min(tops)
+    roots = []
+    for x in parent:
+        while parent[x] != x:
+            x = parent[x]
+        roots.append(x)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array(roots, pa.int64())], ["id", "root"])

@@ -12,7 +12,7 @@ longer prefixes cost postings, but each candidate must match l times before it
 is verified.  A pair is held to the smaller l of its two.
 
 Lists of postings up to SHORT long give all their pairs.  A longer list gives
-the pairs of each member with a hub of about its size, and then, in two rounds,
+the pairs of each member with a hub of about its size, and then
 with the nearest member of another component, by 256-bit parity maps.  After
 these have been verified, members of one component need no more pairs, and all
 pairs across components that can link are made, counted and verified.  So a
@@ -54,7 +54,7 @@ SHORT = 8
 #: Postings of one frequent shingle that one group holds.
 SALTED = 50_000
 #: Rounds in which each member of a long list is tried with its nearest one, and members compared in one group.
-ROUNDS, BLOCK = 2, 4096
+ROUNDS, BLOCK = 1, 4096
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
 #: Bytes of sets that a worker hands over at once.

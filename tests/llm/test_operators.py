@@ -134,7 +134,9 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.join(docs(spark, [])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7)]
     found = common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.id: r.root for r in found} == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
