@@ -55,6 +55,8 @@ SHORT = 8
 SALTED = 50_000
 #: Rounds in which each member of a long list is tried with its nearest one, and members compared in one group.
 ROUNDS, BLOCK = 1, 4096
+#: Long lists whose numbers a member carries along.
+LISTS = 128
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
 #: Bytes of sets that a worker hands over at once.
@@ -387,18 +389,24 @@ def across(rows: DataFrame, counted: DataFrame) -> DataFrame:
     """Pairs of long lists' members in different components, with enough matches, not yet verified.
 
     Sets that link differ in no more than a seventh of their elements; where their
-    parity maps differ in more bits, the pair is not made."""
-    own = ["x", "n", "level", "enters", *MAP]
+    parity maps differ in more bits, the pair is not made.  A pair is made once, in
+    the first of the long lists that have both: each member carries its lists, or,
+    with more than LISTS, none, and then the pair is made in each."""
+    found = F.collect_list("token")
+    lists = rows.groupBy("x").agg(F.when(F.count("*") <= LISTS, found).alias("lists"))
+    rows = rows.join(lists, "x")
+    own = ["x", "n", "level", "lists", *MAP]
     a = rows.where("root <> big").select("token", "root", *(F.col(c).alias(f"a_{c}") for c in own))
     b = rows.select("token", F.col("root").alias("b_root"), (F.col("root") == F.col("big")).alias("in_big"), *(F.col(c).alias(f"b_{c}") for c in own))
-    need = F.least("a_level", "b_level")
     size = F.least("a_n", "b_n") * DENOMINATOR >= F.greatest("a_n", "b_n") * NUMERATOR
     near = differing("a_w", "b_w") * (DENOMINATOR + NUMERATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)
-    met = a.join(b, (a["token"] == b["token"]) & near & (F.col("root") != F.col("b_root")) & (F.col("in_big") | (F.col("a_x") < F.col("b_x"))) & size & (F.col("a_enters") <= need) & (F.col("b_enters") <= need))
-    met = met.select(F.least("a_x", "b_x").alias("x"), F.greatest("a_x", "b_x").alias("y"), F.lit(1).alias("matches"), need.alias("need"), F.lit(False).alias("done"))
-    counted = counted.select("x", "y", "matches", "need", "done")
-    summed = met.unionByName(counted).groupBy("x", "y").agg(F.sum("matches").alias("matches"), F.max("need").alias("need"), F.max("done").alias("done"))
-    return summed.where(~F.col("done") & (F.col("matches") >= F.col("need"))).select("x", "y")
+    shared = F.array_intersect("a_lists", "b_lists")
+    met = a.join(b, (a["token"] == b["token"]) & (F.col("root") != F.col("b_root")) & (F.col("in_big") | (F.col("a_x") < F.col("b_x"))) & size & near & (shared.isNull() | (F.array_min(shared) == a["token"])))
+    met = met.select(F.least("a_x", "b_x").alias("x"), F.greatest("a_x", "b_x").alias("y"), F.size(shared).alias("long"), F.least("a_level", "b_level").alias("need"))
+    met = met.groupBy("x", "y").agg(F.greatest(F.max("long"), F.count("*")).alias("long"), F.max("need").alias("need"))
+    known = counted.groupBy("x", "y").agg(F.sum("matches").alias("matches"), F.max("done").alias("done"))
+    summed = met.join(known, ["x", "y"], "left").where(~F.coalesce("done", F.lit(False)))
+    return summed.where(F.col("long") + F.coalesce("matches", F.lit(0)) >= F.col("need")).select("x", "y")
 
 
 def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:

@@ -116,8 +116,9 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("frequent,short", [(16, 8), (2, 2)])
-def test_ngram_join(spark, monkeypatch, frequent, short):
+@pytest.mark.parametrize("frequent,short,lists", [(16, 8, 128), (2, 2, 128), (2, 2, 3)])
+def test_ngram_join(spark, monkeypatch, frequent, short, lists):
+    monkeypatch.setattr(ngram_join, "LISTS", lists)
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "SHORT", short)
     texts = texts_with_copies(2)
