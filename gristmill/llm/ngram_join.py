@@ -241,8 +241,9 @@ MATCHES = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("matches", pa.int64(
 
 def matches(key, postings):
     """Of the posting lists of one bucket: pairs of short lists with their number of
-    matches, pairs of long lists' members with hubs (sure), and the long lists' postings (y null)."""
-    bucket = key[0].as_py()
+    matches, pairs of long lists' members with hubs (sure), and the long lists' postings (y null).
+    A part of a salted list is long whatever its length: its members may link with those of other parts."""
+    bucket, short = key[0].as_py(), 0 if key[1].as_py() else SHORT
     p = np.concatenate([np.frombuffer(b.as_buffer(), dtype=POSTING) for b in postings["blob"]])
     p = p[np.lexsort((p["cid"], p["n"], p["at"]))]
     fresh = np.append(True, (p["at"][1:] != p["at"][:-1]) | (p["cid"][1:] != p["cid"][:-1]))
@@ -250,14 +251,14 @@ def matches(key, postings):
     cut = np.flatnonzero(np.append(True, p["at"][1:] != p["at"][:-1]))
     size = np.diff(np.append(cut, len(p)))
     left, right = [], []
-    for m in range(2, SHORT + 1):
+    for m in range(2, short + 1):
         own = cut[size == m]
         if len(own):
             a, b = np.triu_indices(m, 1)
             left.append((own[:, None] + a).ravel())
             right.append((own[:, None] + b).ravel())
     hub_left, hub_right, long = [], [], []
-    for a, m in zip(cut[size > SHORT].tolist(), size[size > SHORT].tolist()):
+    for a, m in zip(cut[size > short].tolist(), size[size > short].tolist()):
         ns = p["n"][a : a + m]
         at = 0
         while at < m:  # members are sorted by size; a hub serves those it could link with

@@ -126,6 +126,19 @@ def test_ngram_join(spark, monkeypatch, frequent, short, lists):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)))
 
 
+def test_ngram_join_salted_lists(spark, monkeypatch):
+    """Many exact copies and a few variants: a salted list has far more parts than classes."""
+    monkeypatch.setattr(ngram_join, "SALTED", 2)
+    rng, texts = random.Random(8), []
+    for _ in range(3):
+        text = words(rng, 120)
+        texts += [" ".join(text)] * 40
+        for at in (30, 60, 90):
+            texts.append(" ".join(text[:at] + ["other"] + text[at + 1 :]))
+    found = ngram_join.join(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)))
+
+
 def test_ngram_join_odd_rows(spark):
     same = " ".join(f"v{i}" for i in range(30))
     df = docs(spark, [(3, same), (3, same), (None, same), (1, None), (2, ""), (9, same + " more")])
