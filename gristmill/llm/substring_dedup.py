@@ -5,7 +5,11 @@ the one with the least hash, so an exact run of K + W - 1 words common to two
 documents always shares a seed.  Documents with the same words are one class.
 Equal seeds meet in one bucket; each occurrence is linked with the seed's
 first class and with the class before its own, so a passage in any number of
-classes makes links in proportion to its occurrences.  The links of a pair of
+classes makes links in proportion to its occurrences.  As different seeds may
+choose different partners, all runs of `least` words are linked too, each with
+its first class: an occurrence of a run that repeats has a partner with it whole.  A
+run meets its equals where the least window inside it sends it, so neighbouring
+runs travel together, 8 bytes each.  The links of a pair of
 classes are chained in order in both, by a Fenwick tree over the places in the
 second, with a cost for gaps; chains are then aligned word by word: seeds are
 extended to exact blocks, and what lies between blocks is aligned by edit
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, store
 from .ngram_join import n_buckets, signed
-from .textkernel import chunks, mix, windows, words
+from .textkernel import WEIGHT, chunks, mix, windows, words
 
 K, W = 8, 12
 LEAST, SAME = 50, 0.8
@@ -42,6 +46,8 @@ ASKED, BROADCAST_ASKS = 256, 250_000
 HELD = 3_000_000
 
 SEED = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4")])
+#: Neighbouring runs of a class that travel together.
+PART = np.dtype([("cid", "<i8"), ("place", "<u4"), ("n", "<u4")])
 
 
 def word_hashes(texts):
@@ -74,6 +80,28 @@ def minimisers(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
     return at, g[at]
 
 
+def least_of(g: np.ndarray, w: int) -> np.ndarray:
+    """The least of every w neighbours."""
+    n, size = len(g) - w + 1, 1
+    while 2 * size <= w:
+        g = np.minimum(g[:-size], g[size:])
+        size *= 2
+    return np.minimum(g[:n], g[w - size : w - size + n])
+
+
+def long_windows(h: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, least k-word window) of every run of `length` words, length >= k."""
+    g = windows(h, k)
+    n = len(h) - length + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    out = np.full(n, length, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for at in [*range(0, length - k, k), length - k]:
+            out = out * WEIGHT[0] + g[at : at + n]
+    return mix(out), least_of(g, length - k + 1)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """doc_id, cid, words."""
 
@@ -121,6 +149,46 @@ def seeds(docs: DataFrame, buckets: int, k: int, w: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
+def runs(docs: DataFrame, buckets: int, k: int, length: int) -> DataFrame:
+    """(bucket, parts, hashes): all runs of `length` words of each class, once for each task that reads it."""
+    shift = np.uint64(64 - (buckets - 1).bit_length())
+
+    def run(batches):
+        seen: set[int] = set()
+        held, count = [], 0
+
+        def out():
+            bucket, p, hashes = (np.concatenate(c) for c in zip(*held))
+            n = p["n"].astype(np.int64)
+            begin = np.cumsum(n) - n
+            order = np.argsort(bucket, kind="stable")
+            bucket, p, n, begin = bucket[order], p[order], n[order], begin[order]
+            end = np.cumsum(n)
+            hashes = hashes[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            ends = np.append(cut[1:], len(p))
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([p[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([hashes[end[a] - n[a] : end[b - 1]].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["bucket", "parts", "hashes"])
+
+        for batch in batches:
+            for h in word_hashes(batch.column("text").to_pylist()):
+                if len(h) < length or (cid := text_key(h)) in seen:
+                    continue
+                seen.add(cid)
+                hashes, low = long_windows(h, k, length)  # least hashes are small: mixed again, they fill the buckets evenly
+                first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+                p = np.empty(len(first), dtype=PART)
+                p["cid"], p["place"], p["n"] = signed(np.array([cid], dtype=np.uint64))[0], first, np.diff(np.append(first, len(low)))
+                held.append(((mix(low[first]) >> shift).astype(np.int64), p, hashes))
+                count += len(hashes)
+                if count >= HELD:
+                    yield out()
+                    held, count = [], 0
+        if count:
+            yield out()
+
+    return docs.mapInArrow(run, "bucket int, parts binary, hashes binary")
+
+
 def _sizes(p: np.ndarray):
     """(per place: places of its seed in its class; sizes, starts of these runs; run of each place)."""
     fresh = np.append(True, (p["hash"][1:] != p["hash"][:-1]) | (p["cid"][1:] != p["cid"][:-1]))
@@ -130,9 +198,9 @@ def _sizes(p: np.ndarray):
     return sizes[run], sizes, starts, run
 
 
-def meet(key, blobs):
-    """Links of the seeds of one bucket: (x, y, px, py), with x the later class."""
-    p = np.concatenate([np.frombuffer(b.as_buffer(), dtype=SEED) for b in blobs["blob"]])
+def partners(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of occurrences with equal hashes in different classes, x in the later class:
+    with the hash's first class; with_before: and one in the class before its own."""
     p = p[np.lexsort((p["place"], p["cid"], p["hash"]))]
     p = p[np.append(True, p[1:] != p[:-1])]
     # of a seed's classes, those with more of its places come first: a run of one word reaches as far as the longest
@@ -142,13 +210,50 @@ def meet(key, blobs):
     _, sizes, starts, run = _sizes(p)
     first = run[np.flatnonzero(new)[np.cumsum(new) - 1]]  # run of the seed's first class
     own = np.arange(len(p))
-    rank = own - starts[run]  # places of a seed that repeats in a class pair up by rank
+    rank = own - starts[run]  # places of a hash that repeats in a class pair up by rank
     to_first = (run != first) & (rank < sizes[first])
     before = run - 1
-    to_before = (run != first) & (before != first) & (rank < sizes[before])
+    to_before = with_before & (run != first) & (before != first) & (rank < sizes[before])
     x = np.concatenate([own[to_first], own[to_before]])
     y = np.concatenate([(starts[first] + rank)[to_first], (starts[before] + rank)[to_before]])
-    return pa.table({"x": p["cid"][x], "y": p["cid"][y], "px": p["place"][x].astype(np.int32), "py": p["place"][y].astype(np.int32)})
+    return p[x], p[y]
+
+
+def linked(x: np.ndarray, y: np.ndarray, n) -> pa.Table:
+    """n: words from these places on that are equal."""
+    return pa.table({"x": x["cid"].copy(), "y": y["cid"].copy(), "px": x["place"].astype(np.int32), "py": y["place"].astype(np.int32), "n": np.broadcast_to(n, len(x)).astype(np.int32)})
+
+
+def meet(key, blobs, k: int):
+    """Links of the seeds of one bucket: (x, y, px, py, n)."""
+    p = np.concatenate([np.frombuffer(b.as_buffer(), dtype=SEED) for b in blobs["blob"]])
+    return linked(*partners(p, True), k)
+
+
+def meet_runs(key, blobs, length: int):
+    """Links of the exact runs of one bucket: (x, y, px, py, n); runs that continue each other in both are one link."""
+    parts = np.concatenate([np.frombuffer(b.as_buffer(), dtype=PART) for b in blobs["parts"]])
+    hashes = np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in blobs["hashes"]])
+    n = parts["n"].astype(np.int64)
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    order = order[np.append(equal, False) | np.append(False, equal)]  # most runs occur once
+    part = np.repeat(np.arange(len(parts)), n)[order]
+    p = np.empty(len(order), dtype=SEED)
+    p["hash"], p["cid"], p["place"] = hashes[order], parts["cid"][part], parts["place"][part] + order - (np.cumsum(n) - n)[part]
+    if not len(p):
+        return linked(p, p, length)
+    x, y = partners(p, False)
+    if not len(x):
+        return linked(x, y, length)
+    shift = x["place"].astype(np.int64) - y["place"]
+    order = np.lexsort((x["place"], shift, y["cid"], x["cid"]))
+    x, y, shift = x[order], y[order], shift[order]
+    px = x["place"].astype(np.int64)
+    cut = np.append(True, (x["cid"][1:] != x["cid"][:-1]) | (y["cid"][1:] != y["cid"][:-1]) | (np.diff(shift) != 0) | (np.diff(px) > 1))
+    begin = np.flatnonzero(cut)
+    last = np.append(begin[1:], len(px)) - 1
+    return linked(x[begin], y[begin], px[last] - px[begin] + length)
 
 
 class Fenwick:
@@ -174,14 +279,16 @@ class Fenwick:
         return found
 
 
-def blocks_of(px: np.ndarray, py: np.ndarray, k: int) -> np.ndarray:
-    """Seeds of one diagonal at most k words apart, as blocks (x, y, length): exact runs."""
+def blocks_of(px: np.ndarray, py: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Links of one diagonal that touch or overlap, as blocks (x, y, length): exact runs."""
     order = np.lexsort((px, px - py))
-    px, py = px[order], py[order]
-    cut = np.append(True, (np.diff(px - py) != 0) | (np.diff(px) > k))
-    first = np.flatnonzero(cut)
+    px, py, n = px[order], py[order], n[order]
+    # places are told apart by diagonal, so that a running maximum of ends starts anew with each
+    own = np.cumsum(np.append(False, np.diff(px - py) != 0)) << 40
+    end = np.maximum.accumulate(own + px + n)
+    first = np.flatnonzero(np.append(True, (own + px)[1:] > end[:-1]))
     last = np.append(first[1:], len(px)) - 1
-    got = np.column_stack([px[first], py[first], px[last] - px[first] + k])
+    got = np.column_stack([px[first], py[first], end[last] - own[last] - px[first]])
     return got[np.lexsort((got[:, 1], got[:, 0]))]
 
 
@@ -229,16 +336,17 @@ def chains(blocks: np.ndarray) -> list[list[int]]:
 
 def candidates(links: DataFrame, k: int, least: int) -> DataFrame:
     """x, y, ax, bx, ay, by: regions of chains that may reach `least` words."""
-    groups = links.groupBy("x", "y").agg(F.collect_list(F.struct("px", "py")).alias("at")).where(F.size("at") > 1)
+    groups = links.groupBy("x", "y").agg(F.collect_list(F.struct("px", "py", "n")).alias("at"), F.max("n").alias("most")).where((F.size("at") > 1) | (F.col("most") > k)).drop("most")
 
     def run(batches):
         for batch in batches:
             rows = []
             at = batch.column("at")
             offsets = at.offsets.to_numpy()
-            px, py = (at.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("px", "py"))
+            px, py, n = (at.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("px", "py", "n"))
             for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                blocks = blocks_of(px[offsets[i] : offsets[i + 1]], py[offsets[i] : offsets[i + 1]], k)
+                own = slice(offsets[i], offsets[i + 1])
+                blocks = blocks_of(px[own], py[own], n[own])
                 for chain in chains(blocks):
                     a, b = blocks[chain[0]], blocks[chain[-1]]
                     spans = b[0] + b[2] - a[0], b[1] + b[2] - a[1]
@@ -359,7 +467,10 @@ def find_repeats(docs: DataFrame, k: int = K, w: int = W, least: int = LEAST, sa
     docs = id_and_text(docs).where("doc_id is not null")
     rows = store(describe(docs), "substring-rows").where(F.col("words") >= F.lit(k))
     classes = rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    links = seeds(docs, n_buckets(spark), k, w).groupBy("bucket").applyInArrow(meet, "x bigint, y bigint, px int, py int")
+    schema, buckets, length = "x bigint, y bigint, px int, py int, n int", n_buckets(spark), max(k, least)
+    links = seeds(docs, buckets, k, w).groupBy("bucket").applyInArrow(lambda key, blobs: meet(key, blobs, k), schema)
+    exact = runs(docs, buckets, k, length).groupBy("bucket").applyInArrow(lambda key, blobs: meet_runs(key, blobs, length), schema)
+    links = links.unionByName(exact)
     found = passages(docs, classes, candidates(links, k, least), least, same)
     named = classes.select(F.col("cid").alias("other"), F.col("doc_id").alias("other_id"))
     found = found.join(named, "other").groupBy("cid", "start", "end").agg(F.min(F.struct("other_id", "other_start", "other_end", "matched")).alias("o"))

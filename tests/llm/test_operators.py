@@ -480,6 +480,30 @@ def test_repeats_against_brute_force(spark):
         assert common_words >= 0.8 * max(len(a), len(b)) - 1
 
 
+def test_repeats_of_common_sentences(spark):
+    """A passage of three sentences, each of which many other documents have."""
+    rng = random.Random(12)
+    sentences = [words(rng, 20, 5000) for _ in range(3)]
+    passage = sum(sentences, [])
+    texts = [" ".join(words(rng, 30, 5000) + s + words(rng, 30, 5000)) for s in sentences for _ in range(40)]
+    # in others, the joints of two sentences
+    texts += [" ".join(words(rng, 30, 5000) + passage[a : a + 40] + words(rng, 30, 5000)) for a in (0, 10, 20) for _ in range(40)]
+    with_passage = [len(texts) + i for i in range(2)]
+    texts += [" ".join(words(rng, 25, 5000) + passage + words(rng, 35, 5000)) for _ in with_passage]
+    rows = substring_dedup.find_repeats(docs(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.start <= 25 and r.end >= 85} == set(with_passage)
+    assert {r.doc_id for r in rows} == set(with_passage)
+
+
+def test_long_windows_agree_with_slices():
+    h = np.random.default_rng(3).integers(0, 3, 300).astype(np.uint64)
+    got, low = substring_dedup.long_windows(h, 2, 9)
+    slices = [tuple(h[i : i + 9]) for i in range(len(h) - 8)]
+    assert len(set(zip(got.tolist(), slices))) == len(set(slices)) == len(set(got.tolist()))
+    g = substring_dedup.windows(h, 2)
+    assert low.tolist() == [min(g[i : i + 8]) for i in range(len(slices))]
+
+
 def test_repeats_odd_rows(spark):
     rng = random.Random(11)
     passage = " ".join(words(rng, 60, 5000))
