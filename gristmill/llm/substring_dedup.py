@@ -10,8 +10,8 @@ choose different partners, all runs of `least` words are linked too, each with
 its first class: an occurrence of a run that repeats has a partner with it whole.  A
 run meets its equals where the least window inside it sends it, so neighbouring
 runs travel together, 8 bytes each.  The links of a pair of
-classes are chained in order in both, by a Fenwick tree over the places in the
-second, with a cost for gaps; chains are then aligned word by word: seeds are
+classes are chained in order in both, by a tree over the places in the second,
+with a cost for gaps; chains are then aligned word by word: seeds are
 extended to exact blocks, and what lies between blocks is aligned by edit
 distance.  Passages of at least `least` words in both, of which the share
 `same` is aligned, are the result.
@@ -24,6 +24,9 @@ are left out, as a result could not name them.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from heapq import heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,6 +49,7 @@ ASKED, BROADCAST_ASKS = 256, 250_000
 HELD = 3_000_000
 
 SEED = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4")])
+NONE = (0.0, -1)
 #: Neighbouring runs of a class that travel together.
 PART = np.dtype([("cid", "<i8"), ("place", "<u4"), ("n", "<u4")])
 
@@ -256,26 +260,48 @@ def meet_runs(key, blobs, length: int):
     return linked(x[begin], y[begin], px[last] - px[begin] + length)
 
 
-class Fenwick:
-    """Greatest (score, index) over the places up to one."""
+class Ends:
+    """Greatest (score, index) over a range of places, of the values put and not yet taken back."""
 
     def __init__(self, n: int):
-        self.best = [(0.0, -1)] * (n + 1)
+        self.n = n
+        self.best = [NONE] * (2 * n)
+        self.held: list[list] = [[] for _ in range(n)]
+        self.gone: set[int] = set()
 
     def put(self, at: int, value: tuple[float, int]) -> None:
-        at += 1
-        while at < len(self.best):
-            if value > self.best[at]:
-                self.best[at] = value
-            at += at & -at
-
-    def upto(self, at: int) -> tuple[float, int]:
-        found = (0.0, -1)
-        at += 1
-        while at > 0:
-            if self.best[at] > found:
-                found = self.best[at]
-            at -= at & -at
+        heappush(self.held[at], (-value[0], -value[1]))
+        self._update(at)
+
+    def take(self, at: int, index: int) -> None:
+        self.gone.add(index)
+        self._update(at)
+
+    def _update(self, at: int) -> None:
+        held = self.held[at]
+        while held and -held[0][1] in self.gone:
+            heappop(held)
+        best = self.best
+        best[at + self.n] = (-held[0][0], -held[0][1]) if held else NONE
+        at = (at + self.n) >> 1
+        while at:
+            top = max(best[2 * at], best[2 * at + 1])
+            if top == best[at]:
+                break
+            best[at] = top
+            at >>= 1
+
+    def between(self, a: int, b: int) -> tuple[float, int]:
+        """Over the places from a to b - 1."""
+        found, a, b = NONE, a + self.n, b + self.n
+        while a < b:
+            if a & 1:
+                found = max(found, self.best[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                found = max(found, self.best[b])
+            a, b = a >> 1, b >> 1
         return found
 
 
@@ -296,32 +322,32 @@ def chains(blocks: np.ndarray) -> list[list[int]]:
     """Chains of blocks in order in both documents; a block is in one chain at most.
 
     score(i) = length(i) + max(0, score(j) - PRICE * (gap in x + gap in y)) over
-    the blocks j that end before i begins; the gap cost splits into a part of i
-    and one of j, so the best j is a prefix maximum over the ends in y."""
+    the blocks j that end at most GAP words before i begins, in both; the gap cost
+    splits into a part of i and one of j, so the best j is a maximum over a range of
+    the ends in y, of the blocks that end in reach in x."""
     n = len(blocks)
     x, y, size = (blocks[:, c].tolist() for c in range(3))
     ends = sorted({y[i] + size[i] for i in range(n)})
     place = {e: r for r, e in enumerate(ends)}
-    tree = Fenwick(len(ends))
+    tree = Ends(len(ends))
     score, before = [0.0] * n, [-1] * n
     by_end = sorted(range(n), key=lambda i: x[i] + size[i])
-    done = 0
-    from bisect import bisect_right
-
+    done = past = 0
     for i in range(n):
         while done < n and x[by_end[done]] + size[by_end[done]] <= x[i]:
             j = by_end[done]
             tree.put(place[y[j] + size[j]], (score[j] + PRICE * (x[j] + y[j] + 2 * size[j]), j))
             done += 1
+        while past < done and x[by_end[past]] + size[by_end[past]] < x[i] - GAP:
+            j = by_end[past]
+            tree.take(place[y[j] + size[j]], j)
+            past += 1
         score[i] = float(size[i])
-        r = bisect_right(ends, y[i]) - 1
-        if r >= 0:
-            top, j = tree.upto(r)
-            if j >= 0:
-                gained = top - PRICE * (x[i] + y[i])
-                if gained > 0 and max(x[i] - x[j] - size[j], y[i] - y[j] - size[j]) <= GAP:
-                    score[i] += gained
-                    before[i] = j
+        top, j = tree.between(bisect_left(ends, y[i] - GAP), bisect_right(ends, y[i]))
+        gained = top - PRICE * (x[i] + y[i])
+        if j >= 0 and gained > 0:
+            score[i] += gained
+            before[i] = j
     used, out = set(), []
     for i in sorted(range(n), key=lambda i: -score[i]):
         chain = []

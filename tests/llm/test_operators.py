@@ -520,3 +520,35 @@ def test_chains_keep_order():
     blocks = np.array([[0, 100, 10], [12, 112, 10], [30, 50, 10], [40, 131, 12]])
     best = substring_dedup.chains(blocks)[0]
     assert best == [0, 1, 3]
+
+
+def brute_scores(blocks):
+    """The best score of a chain that ends with each block."""
+    out = []
+    for x, y, n in blocks.tolist():
+        gaps = [(s, x - a - m, y - b - m) for s, (a, b, m) in zip(out, blocks.tolist())]
+        out.append(n + max([0, *(s - substring_dedup.PRICE * (g + h) for s, g, h in gaps if 0 <= g <= substring_dedup.GAP and 0 <= h <= substring_dedup.GAP)]))
+    return out
+
+
+def test_chains_agree_with_all_predecessors():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        blocks = np.unique(np.column_stack([rng.integers(0, 400, 40), rng.integers(0, 400, 40), rng.integers(8, 30, 40)]), axis=0)
+        score = 0.0
+        best = substring_dedup.chains(blocks)[0]
+        for k, i in enumerate(best):
+            gap = blocks[i][:2] - blocks[best[k - 1]][:2] - blocks[best[k - 1]][2] if k else np.zeros(2)
+            assert (gap >= 0).all() and (gap <= substring_dedup.GAP).all()
+            score += blocks[i][2] - substring_dedup.PRICE * gap.sum()
+        assert abs(score - max(brute_scores(blocks))) < 1e-6
+
+
+def test_far_passage_hides_no_near_one(spark):
+    """An exact passage and, more than GAP words on, one with words left out."""
+    rng = random.Random(14)
+    exact, fuzzy = words(rng, 70, 5000), words(rng, 75, 5000)
+    x = exact + words(rng, 90, 5000) + fuzzy + words(rng, 30, 5000)
+    y = exact + words(rng, 90, 5000) + fuzzy[:25] + fuzzy[27:50] + fuzzy[51:] + words(rng, 30, 5000)
+    rows = substring_dedup.find_repeats(docs(spark, [" ".join(x), " ".join(y)])).collect()
+    assert {(r.doc_id, r.start >= 150) for r in rows} == {(0, False), (0, True), (1, False), (1, True)}
