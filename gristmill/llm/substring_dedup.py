@@ -203,8 +203,8 @@ def _sizes(p: np.ndarray):
 
 
 def partners(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of occurrences with equal hashes in different classes, x in the later class:
-    with the hash's first class; with_before: and one in the class before its own."""
+    """Links of occurrences with equal hashes in different classes, x in the class with the greater cid: each occurrence
+    has one at least, in the hash's first class or, if it is there, in the second; with_before: and one in the class before its own."""
     p = p[np.lexsort((p["place"], p["cid"], p["hash"]))]
     p = p[np.append(True, p[1:] != p[:-1])]
     # of a seed's classes, those with more of its places come first: a run of one word reaches as far as the longest
@@ -218,9 +218,15 @@ def partners(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray]:
     to_first = (run != first) & (rank < sizes[first])
     before = run - 1
     to_before = with_before & (run != first) & (before != first) & (rank < sizes[before])
-    x = np.concatenate([own[to_first], own[to_before]])
-    y = np.concatenate([(starts[first] + rank)[to_first], (starts[before] + rank)[to_before]])
-    return p[x], p[y]
+    # only the first class can have places left over: they take the places of the second in turn
+    second = np.minimum(first + 1, len(starts) - 1)
+    second = np.where(p["hash"][starts[second]] == p["hash"], second, first)
+    over = (run == first) & (second != first) & (rank >= sizes[second])
+    x = np.concatenate([own[to_first], own[to_before], (starts[second] + rank % sizes[second])[over]])
+    y = np.concatenate([(starts[first] + rank)[to_first], (starts[before] + rank)[to_before], own[over]])
+    x, y = p[x], p[y]
+    swap = x["cid"] < y["cid"]  # a pair of classes is one pair, whichever has more places of a hash
+    return np.where(swap, y, x), np.where(swap, x, y)
 
 
 def linked(x: np.ndarray, y: np.ndarray, n) -> pa.Table:

@@ -552,3 +552,16 @@ def test_far_passage_hides_no_near_one(spark):
     y = exact + words(rng, 90, 5000) + fuzzy[:25] + fuzzy[27:50] + fuzzy[51:] + words(rng, 30, 5000)
     rows = substring_dedup.find_repeats(docs(spark, [" ".join(x), " ".join(y)])).collect()
     assert {(r.doc_id, r.start >= 150) for r in rows} == {(0, False), (0, True), (1, False), (1, True)}
+
+
+@pytest.mark.parametrize("others", [1, 2, 12])
+def test_passage_repeated_within_a_document(spark, others):
+    """A document holds a passage three times, others once: all its places are found."""
+    rng = random.Random(15)
+    passage = words(rng, 60, 5000)
+    often = sum((words(rng, 90, 5000) + passage for _ in range(3)), [])
+    texts = [" ".join(often)] + [" ".join(words(rng, 40, 5000) + passage + words(rng, 20, 5000)) for _ in range(others)]
+    rows = substring_dedup.find_repeats(docs(spark, texts)).collect()
+    own = [(r.start, r.end) for r in rows if r.doc_id == 0]
+    assert all(any(a <= at and at + 60 <= b for a, b in own) for at in (90, 240, 390))
+    assert {r.doc_id for r in rows} == set(range(others + 1))
