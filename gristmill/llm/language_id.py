@@ -210,10 +210,14 @@ def label_texts(texts: list, model: Model, switch: float = SWITCH):
         top = weight.argmax(axis=1)
         for i in range(len(held)):
             own = labels[bounds[i] : bounds[i + 1]]
-            if total[i] and (total[i] > 200 or any(c.isalpha() for c in texts[first + i])):
-                yield model.languages[top[i]], float(weight[i, top[i]] / total[i]), own
-            else:
+            if not any(map(str.isalpha, texts[first + i] or "")):
                 yield "und", 0.0, own
+            elif total[i]:
+                yield model.languages[top[i]], float(weight[i, top[i]] / total[i]), own
+            else:  # only letters that LEAD leaves out
+                exact = [sum(map(str.isalpha, w.decode("utf-8", "surrogatepass"))) for w in held[i].split()]
+                share = np.bincount(own, weights=exact, minlength=k) / sum(exact)
+                yield model.languages[share.argmax()], float(share.max()), own
 
 
 def runs(labels: np.ndarray) -> list[tuple[int, int, int]]:

@@ -309,6 +309,20 @@ def test_language_id(spark):
     assert language_id.keep_known(docs(spark, [*texts[:2], None]), model).count() == 2
 
 
+@pytest.mark.parametrize("n", [3, 67, 200, 201, 5000])
+def test_texts_without_letters_are_und(spark, n):
+    rng = random.Random(3)
+    langs = {i: ["xx", "yy"][i % 2] for i in range(40)}
+    model = language_id.train(docs(spark, [prose(rng, langs[i], 20) for i in range(40)], langs))
+    texts = ["\u2550" * n, "\U0001f600 " * n, "\u3002\u2014 " * n, "12 \u2022 " * n]
+    assert [x[:2] for x in language_id.label_texts(texts, model)] == [("und", 0.0)] * 4
+    # letters with lead byte C2
+    found = list(language_id.label_texts(["\xb5", "\xaa \xba 7", "\xb5 " * n], model))
+    assert all(x[0] in ("xx", "yy") and 0.5 <= x[1] <= 1 for x in found)
+    kept = language_id.keep_known(docs(spark, [*texts, prose(rng, "xx", 20)]), model)
+    assert kept.count() == 1
+
+
 def test_viterbi_agrees_with_one_text_at_a_time():
     rng = np.random.default_rng(4)
     scores, bounds = rng.normal(size=(40, 3)).astype(np.float32) * 3, np.array([0, 5, 5, 30, 40])
