@@ -31,7 +31,7 @@ SWITCH = 15.0
 #: Log-likelihood that a candidate loses if it does not use the word's script.
 FOREIGN = 30.0
 #: Bytes of text whose words are labelled together.
-GROUP = 1 << 24
+GROUP = 1 << 21
 
 # UTF-8 lead bytes of the scripts told apart.
 SCRIPTS = {
@@ -195,7 +195,7 @@ def label_texts(texts: list, model: Model, switch: float = SWITCH):
         for i, b in enumerate(held):
             chunk.append(b)
             n += len(b)
-            if n > 1 << 20 or i == len(held) - 1:
+            if n > 1 << 18 or i == len(held) - 1:
                 s, letters, bounds = word_scores(chunk, model)
                 scored.append((s, letters))
                 sizes.append(np.diff(bounds))

@@ -64,7 +64,7 @@ SETS = 1 << 24
 #: Documents whose ids are broadcast to pick them out; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Shingles a task holds before it writes them out.
-HELD = 6_000_000
+HELD = 1_000_000
 BITS = 40
 
 POSTING = np.dtype([("at", "<u4"), ("cid", "<i8"), ("n", "<u4"), ("levels", "u1")])
@@ -222,7 +222,7 @@ def postings(docs: DataFrame, k: int, buckets: int, hot: pd.DataFrame) -> DataFr
                 held.append(row)
                 ats.append(bucket << 32 | salt)
                 count += p
-                if count >= HELD // 4:
+                if count >= HELD // 2:
                     yield out()
                     held, ats, count = [], [], 0
         if count:

@@ -38,19 +38,23 @@ _power: dict = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and INVERSE**i for i < n, kept between calls."""
-    if "up" not in _power or len(_power["up"]) < n:
-        size = max(CHUNK + 1, 1 << (n - 1).bit_length())
-        for name, b in (("up", BASE), ("down", INVERSE)):
-            out = np.ones(size, dtype=np.uint64)
-            done, step = 1, b
-            with np.errstate(over="ignore"):
-                while done < size:
-                    k = min(done, size - done)
-                    out[done : done + k] = out[:k] * np.uint64(step)
-                    done, step = done + k, step * step & M64
-            _power[name] = out
-    return _power["up"], _power["down"]
+    """BASE**i and INVERSE**i for i < n, kept between calls unless one long text asks for more."""
+    if len(_power.get("up", ())) >= n:
+        return _power["up"], _power["down"]
+    size = max(2 * CHUNK, n)
+    found = []
+    for b in (BASE, INVERSE):
+        out = np.ones(size, dtype=np.uint64)
+        done, step = 1, b
+        with np.errstate(over="ignore"):
+            while done < size:
+                k = min(done, size - done)
+                out[done : done + k] = out[:k] * np.uint64(step)
+                done, step = done + k, step * step & M64
+        found.append(out)
+    if size == 2 * CHUNK:
+        _power["up"], _power["down"] = found
+    return found[0], found[1]
 
 
 def chunks(texts, size: int = CHUNK):

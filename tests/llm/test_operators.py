@@ -269,7 +269,7 @@ def test_label_model_finds_rates_and_copies():
     votes = np.column_stack([votes, votes[:, 0]])  # a voter that repeats another
     post, rates, voices = toxicity.label_model(votes, 0.3)
     assert np.mean((post > 0.5) == y) > 0.95 and np.allclose(rates[1], 0.7, atol=0.06)
-    assert voices[0] == voices[4] < 0.6 and min(voices[1:4]) > 1.5 * voices[0]
+    assert np.isclose(voices[0], voices[4]) and voices[0] < 0.6 and min(voices[1:4]) > 1.5 * voices[0]
 
 
 def test_training_samples(spark):
