@@ -82,7 +82,7 @@ def kept(name: str, make):
 
 
 #: Edges that one task joins up by itself; more are joined by rounds over all tasks.
-FEW_EDGES = 1_000_000
+FEW_EDGES = 250_000
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:

@@ -11,20 +11,26 @@ least l.  Every class chooses its own l, by the estimated cost of its prefix:
 longer prefixes cost postings, but each candidate must match l times before it
 is verified.  A pair is held to the smaller l of its two.
 
+A pair's first common shingle bounds its overlap by what follows it in either
+set, so only pairs whose first match leaves room for t are verified.
+
 Lists of postings up to SHORT long give all their pairs.  A longer list gives
 the pairs of each member with a hub of about its size, and then
 with the nearest member of another component, by 256-bit parity maps.  After
 these have been verified, members of one component need no more pairs, and all
 pairs across components that can link are made, counted and verified.  So a
 large group of near copies costs pairs in proportion to its size, and no link
-between components is lost.
+between components is lost.  A list is stored in blocks of BLOCK members in
+order of size; members outside its largest component meet it block by block,
+so no list is the work of one task, and blocks that differ too much in size,
+or whose shingle comes too late, do not meet.
 
 Shingles are compared by 64-bit hashes, classes by 64-bit hashes of sets.
 
 Defined results: null, empty and blank texts have no shingle, link with
 nothing, and are their own component; repeated rows are rows of one class; a
-null doc_id never names a component unless it stands alone; other columns are
-ignored.
+row with a null doc_id links like any other, but never names a component
+unless all its rows have none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, distinct_ids, drop, id_and_text, parts, pick, shared_dir, store
@@ -53,21 +59,27 @@ VERIFY_COST, RARE_MATCHES = 20.0, 0.1
 SHORT = 8
 #: Postings of one frequent shingle that one group holds.
 SALTED = 50_000
-#: Rounds in which each member of a long list is tried with its nearest one, and members compared in one group.
-ROUNDS, BLOCK = 1, 4096
+#: Members of a long list that one group compares with others.
+BLOCK = 4096
+#: Comparisons left over for which another round of nearest members is worth its while.
+PATIENCE = 10_000_000_000
 #: Long lists whose numbers a member carries along.
 LISTS = 128
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
 #: Bytes of sets that a worker hands over at once.
 SETS = 1 << 24
-#: Documents whose ids are broadcast to pick them out; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Places in verification groups (16 bytes each) that are broadcast to pick documents out; more are joined by a shuffle.
+BROADCAST_PLACES = 250_000
+#: Bytes of input for each range of the hash space, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 1 << 22, 1 << 18
 #: Shingles a task holds before it writes them out.
 HELD = 1_000_000
 BITS = 40
+SQL_NAMES = {pa.int64(): "bigint", pa.int32(): "int", pa.bool_(): "boolean"}
 
-POSTING = np.dtype([("at", "<u4"), ("cid", "<i8"), ("n", "<u4"), ("levels", "u1")])
+#: pos: the shingle's place in its set, in the global order.
+POSTING = np.dtype([("at", "<u4"), ("cid", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("level", "u1")])
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -84,9 +96,16 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def n_buckets(spark: SparkSession) -> int:
-    """Ranges of the hash space: a power of two, 256 at least."""
-    return 1 << max(8, (4 * parts(spark) - 1).bit_length())
+def n_buckets(docs: DataFrame) -> int:
+    """Ranges of the hash space, a power of two: 256 at least, and more for a larger input, by Spark's estimate of its size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(4 * parts(docs.sparkSession), min(-(-size // RANGE_BYTES), MOST_RANGES), 256)
+    return 1 << (wanted - 1).bit_length()
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and key: the doc_id, or without one a hash of the text, by which a row is found again."""
+    return id_and_text(docs).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
 
 
 def spill(found: list[np.ndarray], buckets: int):
@@ -101,8 +120,8 @@ def spill(found: list[np.ndarray], buckets: int):
 
 
 def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Reads docs once: (doc_id, n, cid, bits) of each row, and the shingles' hashes by bucket."""
-    spark = docs.sparkSession
+    """Reads docs once: (doc_id, key, n, cid, bits) of each row, and the shingles' hashes by bucket."""
+    spark, names = docs.sparkSession, ["kind", "doc_id", "key", "n", "cid", "blob"]
 
     def run(batches):
         held, count = [], 0
@@ -114,7 +133,7 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
                 cids.append(set_key(s))
                 held.append(s >> np.uint64(64 - BITS))
                 count += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(signed(np.array(cids, dtype=np.uint64))), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "cid", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(signed(np.array(cids, dtype=np.uint64))), pa.array(bits, pa.binary())], names)
             if count >= HELD:
                 yield from blobs(held)
                 held, count = [], 0
@@ -124,12 +143,12 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
     def blobs(held):
         got = list(spill(held, buckets))
         none = pa.nulls(len(got), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(got), pa.int32()), none, pa.array([b for b, _ in got], pa.int64()), none, pa.array([x for _, x in got], pa.binary())], ["kind", "doc_id", "n", "cid", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([1] * len(got), pa.int32()), none, none, pa.array([b for b, _ in got], pa.int64()), none, pa.array([x for _, x in got], pa.binary())], names)
 
-    schema = "kind int, doc_id bigint, n bigint, cid bigint, blob binary"
-    docs.mapInArrow(run, schema).write.partitionBy("kind").parquet(path)
-    read = spark.read.schema("doc_id bigint, n bigint, cid bigint, blob binary, kind int").parquet(path)
-    return read.where("kind = 0").select("doc_id", "n", "cid", F.col("blob").alias("bits")), read.where("kind = 1").select(F.col("n").cast("int").alias("bucket"), "blob")
+    schema = "doc_id bigint, key bigint, n bigint, cid bigint, blob binary"
+    docs.mapInArrow(run, f"kind int, {schema}").write.partitionBy("kind").parquet(path)
+    read = spark.read.schema(f"{schema}, kind int").parquet(path)
+    return read.where("kind = 0").select("doc_id", "key", "n", "cid", F.col("blob").alias("bits")), read.where("kind = 1").select(F.col("n").cast("int").alias("bucket"), "blob")
 
 
 def frequent(blobs: DataFrame, buckets: int) -> pd.DataFrame:
@@ -212,13 +231,13 @@ def postings(docs: DataFrame, k: int, buckets: int, hot: pd.DataFrame) -> DataFr
                 else:
                     level, p = choose(len(s), warm)
                     t, salt = t[:p], salt[:p]
-                base = len(s) - -(-NUMERATOR * len(s) // DENOMINATOR)
                 bucket = (t // np.uint64(width)).astype(np.int64)
                 row = np.empty(p, dtype=POSTING)
                 row["at"] = (t - bucket.astype(np.uint64) * np.uint64(width)).astype(np.uint32)
                 row["cid"] = signed(np.array([cid], dtype=np.uint64))[0]
                 row["n"] = len(s)
-                row["levels"] = level << 4 | np.maximum(1, np.arange(p) - base + 1)
+                row["pos"] = np.arange(p)
+                row["level"] = level
                 held.append(row)
                 ats.append(bucket << 32 | salt)
                 count += p
@@ -231,19 +250,30 @@ def postings(docs: DataFrame, k: int, buckets: int, hot: pd.DataFrame) -> DataFr
     return docs.mapInArrow(run, "bucket int, salt bigint, blob binary")
 
 
+def prefix(n, level):
+    """Length of the prefix with this extension of a set of n elements."""
+    return n - -(-NUMERATOR * n // DENOMINATOR) + level
+
+
 def near_size(n, m):
     """Whether sets of n and m elements can link at all."""
     return DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)
 
 
-MATCHES = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("matches", pa.int64()), ("need", pa.int32()), ("sure", pa.bool_()), ("token", pa.int64()), ("n", pa.int64()), ("level", pa.int32()), ("enters", pa.int32())])
+def leaves_room(n, n_pos, m, m_pos):
+    """Whether sets whose first common element has these places can still link."""
+    return (NUMERATOR + DENOMINATOR) * np.minimum(n - n_pos, m - m_pos) >= NUMERATOR * (n + m)
+
+
+MATCHES = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("matches", pa.int64()), ("need", pa.int32()), ("sure", pa.bool_()), ("room", pa.bool_()), ("token", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("level", pa.int32())])
 
 
 def matches(key, postings):
-    """Of the posting lists of one bucket: pairs of short lists with their number of
-    matches, pairs of long lists' members with hubs (sure), and the long lists' postings (y null).
+    """Of the posting lists of one bucket: pairs of short lists with their number of matches and whether
+    one of them leaves room, pairs of long lists' members with hubs (sure), and the long lists' postings (y null).
     A part of a salted list is long whatever its length: its members may link with those of other parts."""
-    bucket, short = key[0].as_py(), 0 if key[1].as_py() else SHORT
+    bucket, salt = key[0].as_py(), key[1].as_py()
+    short = 0 if salt else SHORT
     p = np.concatenate([np.frombuffer(b.as_buffer(), dtype=POSTING) for b in postings["blob"]])
     p = p[np.lexsort((p["cid"], p["n"], p["at"]))]
     fresh = np.append(True, (p["at"][1:] != p["at"][:-1]) | (p["cid"][1:] != p["cid"][:-1]))
@@ -257,7 +287,7 @@ def matches(key, postings):
             a, b = np.triu_indices(m, 1)
             left.append((own[:, None] + a).ravel())
             right.append((own[:, None] + b).ravel())
-    hub_left, hub_right, long = [], [], []
+    hub_left, hub_right, long, places = [], [], [], []
     for a, m in zip(cut[size > short].tolist(), size[size > short].tolist()):
         ns = p["n"][a : a + m]
         at = 0
@@ -267,18 +297,23 @@ def matches(key, postings):
             hub_right.append(np.arange(a + at + 1, a + end))
             at = end
         long.append(np.arange(a, a + m))
+        places.append(np.arange(m) // BLOCK)
     tables = []
 
     def pairs(i, j, sure):
         i, j = np.concatenate(i), np.concatenate(j)
         a, b = p[i], p[j]
-        need = np.minimum(a["levels"] >> 4, b["levels"] >> 4).astype(np.int64)
-        ok = near_size(a["n"].astype(np.int64), b["n"].astype(np.int64))
+        need = np.minimum(a["level"], b["level"]).astype(np.int64)
+        n, m, n_pos, m_pos = (c.astype(np.int64) for c in (a["n"], b["n"], a["pos"], b["pos"]))
+        ok = near_size(n, m)
         if not sure:
-            ok &= ((a["levels"] & 15) <= need) & ((b["levels"] & 15) <= need)
+            ok &= (n_pos < prefix(n, need)) & (m_pos < prefix(m, need))
+        room = leaves_room(n, n_pos, m, m_pos)[ok].astype(np.int8)
         x, y = np.minimum(a["cid"], b["cid"])[ok], np.maximum(a["cid"], b["cid"])[ok]
-        met = pa.table({"x": x, "y": y, "need": need[ok].astype(np.int32)}).group_by(["x", "y", "need"]).aggregate([([], "count_all")])
-        tables.append(met.rename_columns(["x", "y", "need", "matches"]).append_column("sure", pa.repeat(sure, len(met))))
+        met = pa.table({"x": x, "y": y, "need": need[ok].astype(np.int32), "room": room}).group_by(["x", "y", "need"]).aggregate([([], "count_all"), ("room", "max")])
+        met = met.rename_columns(["x", "y", "need", "matches", "room"])
+        met = met.set_column(4, "room", met["room"].cast(pa.bool_()))
+        tables.append(met.append_column("sure", pa.repeat(sure, len(met))))
 
     if left:
         pairs(left, right, False)
@@ -287,12 +322,12 @@ def matches(key, postings):
     if long:
         own = p[np.concatenate(long)]
         token = (bucket << 32) + own["at"].astype(np.int64)
-        tables.append(pa.table({"x": own["cid"].copy(), "token": token, "n": own["n"].astype(np.int64), "level": (own["levels"] >> 4).astype(np.int32), "enters": (own["levels"] & 15).astype(np.int32)}))
+        tables.append(pa.table({"x": own["cid"].copy(), "token": token, "block": (salt << 32) + np.concatenate(places), "n": own["n"].astype(np.int64), "pos": own["pos"].astype(np.int64), "level": own["level"].astype(np.int32)}))
     return pa.concat_tables([MATCHES.empty_table(), *(t.select([n for n in MATCHES.names if n in t.column_names]) for t in tables)], promote_options="permissive").cast(MATCHES)
 
 
 def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (x, y) of classes that link. classes: cid, doc_id of one member.
+    """The pairs (x, y) of classes that link. classes: cid, key of one member.
 
     Each pair belongs to the group of its end with more pairs, split by GROUP;
     a set goes once to each group that has it."""
@@ -306,16 +341,18 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     stars = with_degree.select(hub.alias("hub"), other.alias("cid"), F.pmod(F.xxhash64(other), F.ceil(salts)).alias("salt"))
     members = stars.union(stars.select("hub", F.col("hub").alias("cid"), "salt")).distinct()
     wanted = members.groupBy("cid").agg(F.collect_list(F.struct("hub", "salt")).alias("groups"))
-    wanted = store(wanted.join(classes.select("cid", "doc_id"), "cid").select("doc_id", "cid", "groups"), "join-wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    wanted = store(wanted.join(classes.select("cid", "key"), "cid").select("key", "cid", "groups"), "join-wanted")
+    places = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
+    texts = docs.join(F.broadcast(wanted) if places <= BROADCAST_PLACES else wanted, "key")
 
     def sets(batches):
+        sent = set()
         for batch in batches:
             rows, held = [], 0
             for i, (cid, s) in enumerate(zip(batch.column("cid").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k))):
-                if int(signed(np.array([set_key(s)], dtype=np.uint64))[0]) != cid:
-                    continue  # another row with this doc_id
+                if cid in sent or int(signed(np.array([set_key(s)], dtype=np.uint64))[0]) != cid:
+                    continue  # a copy, or another row with this doc_id
+                sent.add(cid)
                 blob = s.tobytes()
                 for g in batch.column("groups")[i].as_py():
                     rows.append((g["hub"], g["salt"], cid, blob))
@@ -348,106 +385,162 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     return store(moved.groupBy("hub", "salt").applyInPandas(compare, "x bigint, y bigint"), "join-links")
 
 
-def differing(a: str, b: str) -> Column:
-    """Bits in which two 256-bit maps of set parities differ: no more than the elements in only one of the sets."""
-    return sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(4)), F.lit(0))
-
-
 MAP = ["w0", "w1", "w2", "w3"]
 
 
-def by_component(long: DataFrame, label: DataFrame) -> DataFrame:
-    """The long lists that have members of several components, with each member's component as root."""
+def split_lists(long: DataFrame, label: DataFrame) -> DataFrame:
+    """The long lists that have members of several components: each member's component as root, whether that is the
+    list's largest (in_big), and the number of the list's members (total)."""
     rows = long.join(label.select(F.col("id").alias("x"), "root"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-    by_root = rows.groupBy("token", "root").agg(F.count("*").alias("members"))
-    split = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.max(F.struct("members", "root")).alias("big")).where("roots > 1")
-    return store(rows.join(split.select("token", F.col("big.root").alias("big")), "token"), "join-long")
+    held = rows.groupBy("token", "block", "root").agg(F.count("*").alias("members"))
+    by_root = held.groupBy("token", "root").agg(F.sum("members").alias("members"))
+    split = by_root.groupBy("token").agg(F.count("*").alias("roots"), F.sum("members").alias("total"), F.max(F.struct("members", "root")).alias("big")).where("roots > 1")
+    # rows meet what is known of their list by block, so that a long list is many tasks' work
+    blocks = held.select("token", "block").distinct().join(split.select("token", "total", F.col("big.root").alias("big")), "token")
+    return store(rows.join(blocks, ["token", "block"]).withColumn("in_big", F.col("root") == F.col("big")).drop("big"), "join-long")
+
+
+def near_maps(a: dict, b: dict, left: slice) -> np.ndarray:
+    """Bits in which the 256-bit maps of set parities differ: no more than the elements in only one of the sets."""
+    bits = np.zeros((len(a["n"][left]), len(b["n"])), dtype=np.int64)
+    for c in MAP:
+        bits += np.bitwise_count(a[c][left, None] ^ b[c])
+    return bits
+
+
+def arrays(rows: pa.Table) -> dict:
+    """The fixed-width columns; the maps as unsigned numbers."""
+    out = {c: rows[c].to_numpy() for c in rows.column_names if c != "lists"}
+    return out | {c: out[c].view(np.uint64) for c in MAP}
 
 
 def nearest(key, rows):
     """For each member of a block of a list, the member of another component with the nearest parity map, if the two can link."""
-    n = rows["n"].to_numpy()
-    x, root = rows["x"].to_numpy(), rows["root"].to_numpy()
-    maps = np.column_stack([rows[c].to_numpy().view(np.uint64) for c in MAP])
+    own = arrays(rows)
+    x, n, root = own["x"], own["n"], own["root"]
     xs, ys = [], []
     for a in range(0, len(x), 256):
-        own = slice(a, a + 256)
-        bits = np.zeros((len(x[own]), len(x)), dtype=np.int64)
-        for c in range(4):
-            bits += np.bitwise_count(maps[own, c][:, None] ^ maps[:, c])
-        total = n[own][:, None] + n
-        ok = near_size(n[own][:, None], n) & (root[own][:, None] != root) & (bits * (NUMERATOR + DENOMINATOR) <= total * (DENOMINATOR - NUMERATOR))
+        at = slice(a, a + 256)
+        bits, total = near_maps(own, own, at), n[at, None] + n
+        ok = near_size(n[at, None], n) & (root[at, None] != root) & (bits * (NUMERATOR + DENOMINATOR) <= total * (DENOMINATOR - NUMERATOR))
         share = np.where(ok, bits / total, 2.0)
         best = share.argmin(axis=1)
         hit = share[np.arange(len(best)), best] < 2
-        xs.append(x[own][hit])
+        xs.append(x[at][hit])
         ys.append(x[best[hit]])
     p, q = np.concatenate(xs), np.concatenate(ys)
     return pa.table({"x": np.minimum(p, q), "y": np.maximum(p, q)})
 
 
-def across(rows: DataFrame, counted: DataFrame) -> DataFrame:
+def meet_blocks(key, left, right):
+    """Pairs of a list's members, left ones outside its largest component, that can link if this is their first long
+    list in common: with the number of long lists in common (null: unknown) and the matches they need."""
+    token = key[0].as_py()
+    a, b = arrays(left), arrays(right)
+    found = []
+    for first in range(0, len(a["x"]), 256):
+        at = slice(first, first + 256)
+        n, m = a["n"][at, None], b["n"]
+        ok = near_size(n, m) & leaves_room(n, a["pos"][at, None], m, b["pos"]) & (a["root"][at, None] != b["root"])
+        ok &= b["in_big"] | (a["x"][at, None] < b["x"])
+        if ok.any():
+            # sets that link differ in no more than a seventh of their elements
+            ok &= near_maps(a, b, at) * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
+        i, j = np.nonzero(ok)
+        found += zip((i + first).tolist(), j.tolist())
+    lists = [[None if v is None else np.array(v) for v in side["lists"].to_pylist()] if found else [] for side in (left, right)]
+    rows = []
+    for i, j in found:
+        own, other = lists[0][i], lists[1][j]
+        shared = None
+        if own is not None and other is not None:
+            both = own[np.isin(own, other)]
+            if both[0] != token:
+                continue  # the pair is made in the first list that has both
+            shared = len(both)
+        x, y = int(a["x"][i]), int(b["x"][j])
+        rows.append((min(x, y), max(x, y), shared, int(min(a["level"][i], b["level"][j]))))
+    columns = list(zip(*rows)) if rows else [()] * 4
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "long", "need"])
+
+
+def across(rows: DataFrame, counted: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs of long lists' members in different components, with enough matches, not yet verified.
 
-    Sets that link differ in no more than a seventh of their elements; where their
-    parity maps differ in more bits, the pair is not made.  A pair is made once, in
-    the first of the long lists that have both: each member carries its lists, or,
-    with more than LISTS, none, and then the pair is made in each."""
-    found = F.collect_list("token")
-    lists = rows.groupBy("x").agg(F.when(F.count("*") <= LISTS, found).alias("lists"))
+    Each member carries its lists in the global order or, with more than LISTS, none: then the pair
+    is made in each list and verified whatever its matches."""
+    found = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])
+    lists = rows.groupBy("x").agg(F.count("*").alias("n_lists"), F.when(F.count("*") <= LISTS, found).alias("lists"))
     rows = rows.join(lists, "x")
-    own = ["x", "n", "level", "lists", *MAP]
-    a = rows.where("root <> big").select("token", "root", *(F.col(c).alias(f"a_{c}") for c in own))
-    b = rows.select("token", F.col("root").alias("b_root"), (F.col("root") == F.col("big")).alias("in_big"), *(F.col(c).alias(f"b_{c}") for c in own))
-    size = F.least("a_n", "b_n") * DENOMINATOR >= F.greatest("a_n", "b_n") * NUMERATOR
-    near = differing("a_w", "b_w") * (DENOMINATOR + NUMERATOR) <= (F.col("a_n") + F.col("b_n")) * (DENOMINATOR - NUMERATOR)
-    shared = F.array_intersect("a_lists", "b_lists")
-    met = a.join(b, (a["token"] == b["token"]) & (F.col("root") != F.col("b_root")) & (F.col("in_big") | (F.col("a_x") < F.col("b_x"))) & size & near & (shared.isNull() | (F.array_min(shared) == a["token"])))
-    met = met.select(F.least("a_x", "b_x").alias("x"), F.greatest("a_x", "b_x").alias("y"), F.size(shared).alias("long"), F.least("a_level", "b_level").alias("need"))
-    met = met.groupBy("x", "y").agg(F.greatest(F.max("long"), F.count("*")).alias("long"), F.max("need").alias("need"))
+    blocks = rows.groupBy("token", "block").agg(F.count_if(~F.col("in_big")).alias("small"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    before = F.sum("small").over(Window.partitionBy("token").orderBy("block")) - F.col("small")
+    blocks = store(blocks.withColumn("part", F.floor(before / BLOCK)), "join-blocks")
+    small = blocks.where("small > 0")
+    parts_of = small.groupBy("token", "part").agg(F.min("lo").alias("p_lo"), F.max("hi").alias("p_hi"), F.max("rest").alias("p_rest"))
+    can = F.least("p_hi", "hi") * DENOMINATOR >= F.greatest("p_lo", "lo") * NUMERATOR
+    can &= F.least("p_rest", "rest") * (NUMERATOR + DENOMINATOR) >= (F.col("p_lo") + F.col("lo")) * NUMERATOR
+    units = parts_of.join(blocks.drop("part", "small"), "token").where(can).select("token", "part", F.col("block").alias("other"))
+    own = ["x", "n", "pos", "level", "root", "in_big", "lists", *MAP]
+    left = rows.where(~F.col("in_big")).join(small.select("token", "block", "part"), ["token", "block"]).join(units, ["token", "part"])
+    right = rows.withColumnRenamed("block", "other").join(units, ["token", "other"])
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # attributes of its own
+    keys = ["token", "part", "other"]
+    met = left.select(*keys, *own).groupBy(*keys).cogroup(right.select(*keys, *own).groupBy(*keys)).applyInArrow(meet_blocks, "x bigint, y bigint, long bigint, need bigint")
+    met = met.groupBy("x", "y").agg(F.max("long").alias("long"), F.max("need").alias("need"))
     known = counted.groupBy("x", "y").agg(F.sum("matches").alias("matches"), F.max("done").alias("done"))
-    summed = met.join(known, ["x", "y"], "left").where(~F.coalesce("done", F.lit(False)))
-    return summed.where(F.col("long") + F.coalesce("matches", F.lit(0)) >= F.col("need")).select("x", "y")
+    met = met.join(known, ["x", "y"], "left").where(~F.coalesce("done", F.lit(False)))
+    met = met.where(F.col("long").isNull() | (F.col("long") + F.coalesce("matches", F.lit(0)) >= F.col("need"))).select("x", "y")
+    # pairs whose first match was in a short list may have others in long ones
+    late = counted.where("room and not done")
+    for end in ("x", "y"):
+        at = label.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+        late = late.join(lists.select(F.col("x").alias(end), F.col("n_lists").alias(f"{end}_lists")), end).join(at, end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    late = late.where((F.col("x_root") != F.col("y_root")) & (F.col("matches") + F.least("x_lists", "y_lists") >= F.col("need"))).select("x", "y")
+    return met.union(late).distinct()
 
 
 def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows, label): doc_id, n, cid of every row; id (a cid), root of every class that links with another."""
     spark = docs.sparkSession
-    docs, buckets = id_and_text(docs), n_buckets(spark)
+    docs = located(docs)
+    buckets = n_buckets(docs)
     described = f"{shared_dir(spark)}/join-rows-{uuid.uuid4().hex}"
     rows_of, blobs = describe(docs, k, buckets, described)
     hot = frequent(blobs, buckets)
     blobs.stored_at = f"{described}/kind=1"
     drop(blobs)
-    classes = rows_of.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"))
-
-    found = store(postings(docs, k, buckets, hot).groupBy("bucket", "salt").applyInArrow(matches, "x bigint, y bigint, matches bigint, need int, sure boolean, token bigint, n bigint, level int, enters int"), "join-matches")
-    long = found.where("y is null").select("token", "x", "n", "level", "enters")
-    counted = found.where("y is not null").groupBy("x", "y").agg(F.sum(F.when(F.col("sure"), 0).otherwise(F.col("matches"))).alias("matches"), F.max("need").alias("need"), F.max("sure").alias("sure"))
-    counted = store(counted.withColumn("done", F.col("sure") | (F.col("matches") >= F.col("need"))), "join-counted")
-    first = counted.where("done").select("x", "y")
-    if long.where(F.lit(len(hot) > 0 and int(hot["df"].max()) > SALTED)).limit(1).count():
-        # hubs of a salted list's parts meet at the least of its members
-        heads = long.groupBy("token").agg(F.min("x").alias("head"))
-        more = long.join(heads, "token").where("x <> head").select(F.least("x", "head").alias("x"), F.greatest("x", "head").alias("y"))
-        first = first.union(more).distinct()
-    links = verify(docs, classes, first, k).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    classes = rows_of.where("n > 0").groupBy("cid").agg(F.min("key").alias("key"), F.first("bits").alias("bits"))
+
+    columns = ", ".join(f"{f.name} {SQL_NAMES[f.type]}" for f in MATCHES)
+    found = store(postings(docs, k, buckets, hot).groupBy("bucket", "salt").applyInArrow(matches, columns), "join-matches")
+    long = found.where("y is null").select("token", "block", "x", "n", "pos", "level")
+    counted = found.where("y is not null").groupBy("x", "y").agg(F.sum(F.when(F.col("sure"), 0).otherwise(F.col("matches"))).alias("matches"), F.max("need").alias("need"), F.max("sure").alias("sure"), F.max("room").alias("room"))
+    counted = store(counted.withColumn("done", F.col("sure") | (F.col("room") & (F.col("matches") >= F.col("need")))).drop("sure"), "join-counted")
+    links = verify(docs, classes, counted.where("done").select("x", "y"), k).select(F.col("x").alias("a"), F.col("y").alias("b"))
     label = components(links)
     words = [F.conv(F.hex(F.substring("bits", 1 + 8 * i, 8)), 16, -10).cast("bigint").alias(w) for i, w in enumerate(MAP)]
-    long = store(long.join(classes.select(F.col("cid").alias("x"), *words), "x"), "join-maps")
-    for _ in range(ROUNDS):  # components grow towards their nearest members before all that is left is compared
-        rows = by_component(long, label)
-        blocks = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(1) + F.count("*").over(Window.partitionBy("token")) / BLOCK).cast("bigint"))
-        tried = blocks.groupBy("token", "block").applyInArrow(nearest, "x bigint, y bigint").distinct()
-        tried = store(tried.join(counted.where("done"), ["x", "y"], "left_anti"), "join-nearest")
-        if not tried.limit(1).count():
+    mapped = store(long.join(classes.select(F.col("cid").alias("x"), *words), "x"), "join-maps")
+    drop(found)
+    left_over = None
+    while True:  # components grow towards their nearest members before all that is left is compared
+        rows = split_lists(mapped, label)
+        sides = rows.groupBy("token").agg(F.count_if(~F.col("in_big")).alias("small"), F.count("*").alias("n"))
+        work = sides.agg(F.sum(F.col("small").cast("double") * F.col("n"))).first()[0] or 0
+        if not work or (left_over is not None and (work < PATIENCE or work > 0.9 * left_over)):
             break
-        counted = counted.unionByName(tried.select("x", "y", F.lit(0).alias("matches"), F.lit(0).alias("need"), F.lit(True).alias("sure"), F.lit(True).alias("done")))
+        left_over = work
+        mixed = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.ceil(F.col("total") / BLOCK)))
+        tried = mixed.groupBy("token", "block").applyInArrow(nearest, "x bigint, y bigint").distinct()
+        tried = store(tried.join(counted.where("done"), ["x", "y"], "left_anti"), "join-nearest")
+        counted = counted.unionByName(tried.select("x", "y", F.lit(0).alias("matches"), F.lit(0).alias("need"), F.lit(True).alias("room"), F.lit(True).alias("done")))
         links = links.union(verify(docs, classes, tried, k))
         label = components(links)
-    last = store(across(by_component(long, label), counted), "join-across")
-    if last.limit(1).count():
+        drop(rows)
+    if work:
+        last = store(across(rows, counted, label), "join-across")
         label = components(links.union(verify(docs, classes, last, k)))
+    for made in (mapped, rows):
+        drop(made)
     return rows_of, label
 
 

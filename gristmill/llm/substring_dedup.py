@@ -499,7 +499,7 @@ def find_repeats(docs: DataFrame, k: int = K, w: int = W, least: int = LEAST, sa
     docs = id_and_text(docs).where("doc_id is not null")
     rows = store(describe(docs), "substring-rows").where(F.col("words") >= F.lit(k))
     classes = rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    schema, buckets, length = "x bigint, y bigint, px int, py int, n int", n_buckets(spark), max(k, least)
+    schema, buckets, length = "x bigint, y bigint, px int, py int, n int", n_buckets(docs), max(k, least)
     links = seeds(docs, buckets, k, w).groupBy("bucket").applyInArrow(lambda key, blobs: meet(key, blobs, k), schema)
     exact = runs(docs, buckets, k, length).groupBy("bucket").applyInArrow(lambda key, blobs: meet_runs(key, blobs, length), schema)
     links = links.unionByName(exact)

@@ -116,16 +116,31 @@ def brute_components(rows):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("frequent,short,lists", [(16, 8, 128), (2, 2, 128), (2, 2, 3)])
-def test_ngram_join(spark, monkeypatch, frequent, short, lists):
-    monkeypatch.setattr(ngram_join, "LISTS", lists)
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "SHORT", short)
+@pytest.mark.parametrize("frequent,short,lists,salted,block", [(16, 8, 128, 50_000, 4096), (2, 2, 128, 50_000, 3), (2, 2, 3, 6, 5), (1, 1, 2, 2, 2)])
+def test_ngram_join(spark, monkeypatch, frequent, short, lists, salted, block):
+    for name, value in (("LISTS", lists), ("FREQUENT", frequent), ("SHORT", short), ("SALTED", salted), ("BLOCK", block)):
+        monkeypatch.setattr(ngram_join, name, value)
     texts = texts_with_copies(2)
+    rng = random.Random(21)
+    stock = words(rng, 60, 3000)  # a common passage with an own beginning: some link, most do not
+    texts += [" ".join(words(rng, rng.randrange(1, 30), 3000) + stock) for _ in range(40)]
     found = ngram_join.join(docs(spark, texts)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(list(enumerate(texts)))
 
 
+def test_ngram_join_null_ids_are_bridges(spark):
+    """A near copy of two documents that are not near copies of each other, without a doc_id."""
+    rng = random.Random(31)
+    base = words(rng, 100, 5000)
+    a = [f"a{i}" if i < 10 else w for i, w in enumerate(base)]
+    b = [f"b{i}" if i >= 90 else w for i, w in enumerate(base)]
+    df = docs(spark, [(7, " ".join(a)), (None, " ".join(base)), (9, " ".join(b)), (None, "alone here"), (None, None)])
+    brute = brute_components([(7, " ".join(a)), (8, " ".join(base)), (9, " ".join(b))])
+    assert brute[7][1] == brute[9][1] and 4 * len(shingles(" ".join(a)) & shingles(" ".join(b))) < 3 * len(shingles(" ".join(a)) | shingles(" ".join(b)))
+    found = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.join(df).collect())
+    assert found == [(-1, 0, None), (-1, 1, None), (-1, 96, 7), (7, 96, 7), (9, 96, 7)]
+
+
 def test_ngram_join_salted_lists(spark, monkeypatch):
     """Many exact copies and a few variants: a salted list has far more parts than classes."""
     monkeypatch.setattr(ngram_join, "SALTED", 2)
