@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,30 +23,84 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What store() writes inside goes to one folder, which is removed at the end; only lasting tables stay.
+    What runs inside gets Arrow batches of BATCH_BYTES, so that long texts do not fill a worker."""
+    if _scratch.get():
+        yield
+        return
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
+        remove(spark, folder)
+
+
+def small_batches(batches, column: str = "text"):
+    """The same rows in slices of about BATCH_BYTES of one column, one row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(column).nbytes)))
+        if rows >= batch.num_rows:
+            yield batch
+        else:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+
+def work_dir(spark: SparkSession) -> str:
+    return _scratch.get() or shared_dir(spark)
+
+
+def store(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """Writes df below the shared folder and reads it back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark) if lasting else work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Removes what store() has written."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.stored_at)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def in_fold(mod: int, rest: int) -> Column:
@@ -59,10 +115,11 @@ BROADCAST_IDS = 1_000_000
 
 def pick(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     """The rows of docs whose doc_id is (keep) or is not in ids, which has that one column."""
-    ids = store(ids.select(F.col("doc_id").alias("_id")).distinct(), "picked")
+    own = fresh(docs, "id")
+    ids = store(ids.select(F.col("doc_id").alias(own)).distinct(), "picked", lasting=True)
     few = ids.count() <= BROADCAST_IDS
     how = "left_semi" if keep else "left_anti"
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col(own)), how)
 
 
 def distinct_ids(docs: DataFrame) -> bool:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, pick
+from .common import id_and_text, pick, small_batches
 from .textkernel import seeded
 
 Q = 8
@@ -207,7 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, errors: float
 
         def run(batches):
             index = shared.value
-            for batch in batches:
+            for batch in small_batches(batches):
                 found = []
                 if index.ids:
                     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, small_batches
 
 SAMPLE = 1500
 LANGUAGES = 64
@@ -237,7 +237,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             got = list(label_texts(batch.column("text").to_pylist(), model))
             arrays = [batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             if with_spans:
@@ -252,7 +252,7 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             got = label_texts(batch.column("text").to_pylist(), shared.value)
             yield batch.filter(pa.array([g[0] != "und" for g in got], pa.bool_()))
 

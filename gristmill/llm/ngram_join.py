@@ -38,12 +38,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, distinct_ids, drop, id_and_text, parts, pick, shared_dir, store
+from .common import components, distinct_ids, drop, id_and_text, parts, pick, scratch, store, work_dir
 from .textkernel import set_key, shingle_sets
 
 K = 5
@@ -68,7 +67,7 @@ LISTS = 128
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
 #: Bytes of sets that a worker hands over at once.
-SETS = 1 << 24
+SETS = 1 << 22
 #: Places in verification groups (16 bytes each) that are broadcast to pick documents out; more are joined by a shuffle.
 BROADCAST_PLACES = 250_000
 #: Bytes of input for each range of the hash space, and ranges at most.
@@ -151,20 +150,22 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
     return read.where("kind = 0").select("doc_id", "key", "n", "cid", F.col("blob").alias("bits")), read.where("kind = 1").select(F.col("n").cast("int").alias("bucket"), "blob")
 
 
-def frequent(blobs: DataFrame, buckets: int) -> pd.DataFrame:
-    """(token, df) of the shingles in more than FREQUENT documents, the most frequent MOST_FREQUENT at most."""
+def frequent(blobs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, df), by token, of the shingles in more than FREQUENT documents, the most frequent MOST_FREQUENT at most."""
     width = (1 << BITS) // buckets
 
-    def count(key, pdf):
-        base = np.uint64(int(key[0]) * width)
-        t = np.sort(np.concatenate([base + np.cumsum(unplanes(b, "<u4"), dtype=np.uint64) for b in pdf["blob"]]))
+    def count(key, rows):
+        base = np.uint64(key[0].as_py() * width)
+        t = np.concatenate([base + np.cumsum(unplanes(b.as_buffer(), "<u4"), dtype=np.uint64) for b in rows["blob"]])
+        t.sort()
         cut = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         df = np.diff(np.append(cut, len(t)))
         keep = df > FREQUENT
-        return pd.DataFrame({"token": signed(t[cut][keep]), "df": df[keep]})
+        return pa.table({"token": signed(t[cut][keep]), "df": df[keep]})
 
-    found = blobs.groupBy("bucket").applyInPandas(count, "token bigint, df bigint")
-    return found.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toPandas().sort_values("token")
+    found = blobs.groupBy("bucket").applyInArrow(count, "token bigint, df bigint")
+    found = found.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT).toArrow().sort_by("token")
+    return found["token"].to_numpy().astype(np.uint64), found["df"].to_numpy()
 
 
 def choose(n: int, heavy: np.ndarray) -> tuple[int, int]:
@@ -185,9 +186,9 @@ def choose(n: int, heavy: np.ndarray) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def postings(docs: DataFrame, k: int, buckets: int, hot: pd.DataFrame) -> DataFrame:
+def postings(docs: DataFrame, k: int, buckets: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(bucket, salt, blob): each class's prefix, once for each task that reads it."""
-    tables = docs.sparkSession.sparkContext.broadcast((hot["token"].to_numpy().astype(np.uint64), hot["df"].to_numpy()))
+    tables = docs.sparkSession.sparkContext.broadcast(hot)
     width = (1 << BITS) // buckets
 
     def run(batches):
@@ -367,22 +368,23 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["hub", "salt", "cid", "blob"])
 
-    def compare(key, pdf):
-        pdf = pdf.drop_duplicates("cid")
-        own = {c: np.frombuffer(b, dtype=np.uint64) for c, b in zip(pdf["cid"], pdf["blob"])}
-        hub = own[key[0]]
+    def compare(key, rows):
+        own = {c: np.frombuffer(b.as_buffer(), dtype=np.uint64) for c, b in zip(rows["cid"].to_pylist(), rows["blob"])}
+        at = key[0].as_py()
+        hub = own.pop(at)
         found = []
         for cid, s in own.items():
-            if cid != key[0] and near_size(len(s), len(hub)):
+            if near_size(len(s), len(hub)):
                 both = np.concatenate([s, hub])
                 both.sort()
                 same = int(np.count_nonzero(both[1:] == both[:-1]))
                 if DENOMINATOR * same >= NUMERATOR * (len(s) + len(hub) - same):
-                    found.append((min(cid, key[0]), max(cid, key[0])))
-        return pd.DataFrame(found, columns=["x", "y"], dtype="int64")
+                    found.append(cid)
+        found = np.array(found, dtype=np.int64)
+        return pa.table({"x": np.minimum(found, at), "y": np.maximum(found, at)})
 
     moved = texts.select("text", "cid", "groups").mapInArrow(sets, "hub bigint, salt bigint, cid bigint, blob binary")
-    return store(moved.groupBy("hub", "salt").applyInPandas(compare, "x bigint, y bigint"), "join-links")
+    return store(moved.groupBy("hub", "salt").applyInArrow(compare, "x bigint, y bigint"), "join-links")
 
 
 MAP = ["w0", "w1", "w2", "w3"]
@@ -504,7 +506,7 @@ def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = located(docs)
     buckets = n_buckets(docs)
-    described = f"{shared_dir(spark)}/join-rows-{uuid.uuid4().hex}"
+    described = f"{work_dir(spark)}/join-rows-{uuid.uuid4().hex}"
     rows_of, blobs = describe(docs, k, buckets, described)
     hot = frequent(blobs, buckets)
     blobs.stored_at = f"{described}/kind=1"
@@ -546,6 +548,11 @@ def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs."""
+    with scratch(docs.sparkSession):
+        return store(_join(docs, k), "join-found", lasting=True)
+
+
+def _join(docs: DataFrame, k: int) -> DataFrame:
     rows, label = link(docs, k)
     classes = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"))
     linked = classes.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -559,7 +566,7 @@ def keep_one(docs: DataFrame, k: int = K) -> DataFrame:
     """The rows of docs whose doc_id is the least of its component, with all their columns.
 
     doc_id names a document: of rows with equal doc_id and text one stays."""
-    found = store(join(docs, k).select("doc_id", "component_id"), "join-kept")
+    found = join(docs, k).select("doc_id", "component_id")
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     if distinct_ids(found):
         return pick(docs, found.where(~same), keep=False)

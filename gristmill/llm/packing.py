@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kept, store
+from .common import id_and_text, kept, scratch, small_batches, store
 
 CAPACITY = 2048
 #: Chunks of text whose ids one Python process keeps.
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY, wit
 
     def run(batches):
         encoder = kept(f"encoder {path}", lambda: Encoder(path, ranks))
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = memoryview((encoder.encode(text) if text else b"") + b"\0\0\0\0")
@@ -200,4 +200,5 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    return pack(store(pieces(docs, path, ranks, capacity, with_ids), "pieces"), capacity)
+    with scratch(docs.sparkSession):
+        return store(pack(store(pieces(docs, path, ranks, capacity, with_ids), "pieces"), capacity), "packed", lasting=True)

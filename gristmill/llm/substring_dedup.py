@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, store
+from .common import id_and_text, scratch, store
 from .ngram_join import n_buckets, signed
 from .textkernel import WEIGHT, chunks, mix, windows, words
 
@@ -41,12 +41,12 @@ LEAST, SAME = 50, 0.8
 #: Words beyond a chain's ends that are read for its alignment, and how far its score may drop there.
 MARGIN, DROP = 48, 8
 #: Bytes of slices, and pairs of them, that a worker holds at once.
-SLICES, PAIRS = 1 << 24, 256
+SLICES, PAIRS = 1 << 22, 256
 #: Words that two neighbouring seeds of a chain may lie apart, and the price of a word of gap.
 GAP, PRICE = 64, 0.05
 #: Regions of one class that go to it together, and such groups that are broadcast; more are joined by a shuffle.
 ASKED, BROADCAST_ASKS = 256, 250_000
-HELD = 3_000_000
+HELD = 1_000_000
 
 SEED = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4")])
 NONE = (0.0, -1)
@@ -495,7 +495,11 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
 def find_repeats(docs: DataFrame, k: int = K, w: int = W, least: int = LEAST, same: float = SAME) -> DataFrame:
     """doc_id, start, end, other_id, other_start, other_end, matched: for every document
     with a repeated passage, its word ranges, each with one other document that has it."""
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession):
+        return store(_repeats(docs, k, w, least, same), "substring-found", lasting=True)
+
+
+def _repeats(docs: DataFrame, k: int, w: int, least: int, same: float) -> DataFrame:
     docs = id_and_text(docs).where("doc_id is not null")
     rows = store(describe(docs), "substring-rows").where(F.col("words") >= F.lit(k))
     classes = rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))

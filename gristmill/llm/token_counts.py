@@ -25,7 +25,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, kept
+from .common import id_and_text, kept, small_batches
 
 MARKER = 0x20
 #: Distinct words whose counts one Python process keeps; then it starts anew.
@@ -117,7 +117,7 @@ def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
 
     def run(batches):
         counts = kept(f"longest-match {vocab_path}", lambda: _Counts(LongestMatch(vocabulary(vocab_path))))
-        for batch in batches:
+        for batch in small_batches(batches):
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
                 found = text.split() if text else []

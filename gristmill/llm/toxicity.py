@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, small_batches
 from .labelled import logistic, predict, sigmoid
 
 #: Labelled rows that are read for training.
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         vote = Votes(model.lexicon)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             counts = np.array([vote(t) for t in texts]).reshape(len(texts), vote.n + len(PATTERNS))
             x = features(counts, vote.n)

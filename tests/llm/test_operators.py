@@ -64,12 +64,19 @@ def brute_copies(rows):
     return {i: (max(g), len(g), i == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
 
 
-@pytest.mark.parametrize("key_hex,capacity", [(64, None), (1, 3), (64, 4)])
-def test_exact_dedup(spark, key_hex, capacity):
+@pytest.mark.parametrize("key_hex,capacity", [(64, None), (1, 600), (2, 1), (64, 900), (64, 1)])
+def test_exact_dedup(spark, monkeypatch, key_hex, capacity):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ENTRIES", 0 if capacity == 600 else 1000)
     texts = texts_with_copies()
+    texts += texts[:40]
     found = exact_dedup.find_copies(docs(spark, texts), key_hex, capacity).collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found} == brute_copies(list(enumerate(texts)))
     assert len(found) == len(texts)
+    owners = {r.bucket for r in found if r.bucket is not None}
+    # the directory deals the chains out to more owners the less one may hold; keys of one digit have 16 leading parts
+    assert {600: 1 < len(owners) <= 16, 1: len(owners) > 15}.get(capacity, True)
+    # a key that occurs once has no owner
+    assert key_hex < 64 or all((r.bucket is None) == (r.group_size == 1) for r in found)
 
 
 def test_exact_dedup_odd_rows(spark):
