@@ -345,6 +345,40 @@ def test_texts_without_letters_are_und(spark, n):
     assert kept.count() == 1
 
 
+def test_many_languages_are_all_learned(spark):
+    """More languages than a byte has values; each has words of its own."""
+    rng = random.Random(17)
+    langs = [f"l{k:03}" for k in range(70)]
+    own = {lang: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for lang in langs}
+    where = {i: langs[i % 70] for i in range(700)}
+    texts = [" ".join(rng.choices(own[where[i]], k=12)) for i in range(700)]
+    model = language_id.train(docs(spark, texts, where), per_language=5)
+    assert model.languages == langs
+    found = list(language_id.label_texts(texts[:280], model))
+    assert np.mean([f[0] == where[i] for i, f in enumerate(found)]) > 0.97
+
+
+def test_scripts_narrow_candidates(spark):
+    """Armenian and Hebrew, Hindi and Thai share lead bytes; code points tell them apart."""
+    parts = {"hy": "\u0561\u0562 \u0563\u0564\u0565", "he": "\u05d0\u05d1 \u05d2\u05d3", "hi": "\u0915\u0916 \u0917\u0918", "th": "\u0e01\u0e02 \u0e04\u0e07", "got": "\U00010330\U00010331 \U00010332"}
+    langs = {i: list(parts)[i % 5] for i in range(50)}
+    model = language_id.train(docs(spark, [parts[langs[i]] * 5 for i in range(50)], langs))
+    # letters of the scripts that training has not seen
+    unseen = {"hy": "\u0578\u0580", "he": "\u05e9\u05ea", "hi": "\u0938\u0939", "th": "\u0e2a\u0e2b"}
+    assert [x[0] for x in language_id.label_texts(list(unseen.values()), model)] == list(unseen)
+    assert next(language_id.label_texts([parts["got"]], model))[0] == "got"
+
+
+def test_language_ties_nulls_and_repeated_rows(spark):
+    df = docs(spark, ["aa bb", "aa bb", None, "aa bb", ""], {0: "xx", 1: "yy", 2: "xx"})
+    model = language_id.train(df.union(df))
+    assert model.languages == ["xx", "yy"]
+    got = language_id.identify(df.union(df), model).collect()
+    assert [(r.doc_id, r.lang_pred) for r in got] == [(0, "xx"), (1, "xx"), (2, "und"), (3, "xx"), (4, "und")] * 2
+    assert language_id.identify(df.where("false"), model).count() == 0
+    assert language_id.train(df.where("false")).languages == []
+
+
 def test_viterbi_agrees_with_one_text_at_a_time():
     rng = np.random.default_rng(4)
     scores, bounds = rng.normal(size=(40, 3)).astype(np.float32) * 3, np.array([0, 5, 5, 30, 40])
@@ -481,7 +515,7 @@ def test_leaks_against_brute_force(spark):
             item = rng.choice(items)
             body.insert(rng.randrange(40), edits(rng, item, rng.randrange(0, 2 + len(item) // 8)).upper())
         texts.append(" \n".join(body))
-    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "tiny")], "item_id bigint, text string")
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "tiny"), (53, " \n")], "item_id bigint, text string")
     found = collections.defaultdict(dict)
     for r in decontaminate.find_leaks(docs(spark, texts), bench).collect():
         found[r.doc_id][r.item_id] = min(r.distance, found[r.doc_id].get(r.item_id, 1 << 30))
@@ -496,6 +530,51 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.find_leaks(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def test_short_items_are_found_exactly(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "to be  or not"), (3, "yes"), (4, "é!")], "item_id bigint, text string")
+    texts = ["oh yes, yesterday", "To be\nor not to be", "yesyes", None, "", "abcé!d", " é! ", "to be or nothing"]
+    found = sorted((r.doc_id, r.item_id, r.distance, r.start, r.end) for r in decontaminate.find_leaks(docs(spark, texts), bench).collect())
+    assert found == [(0, 1, 0, 3, 6), (0, 3, 0, 3, 6), (1, 2, 0, 0, 12), (6, 4, 0, 0, 2)]
+    assert decontaminate.drop_leaks(docs(spark, texts), bench).count() == len(texts)
+
+
+def test_leaks_are_dropped_row_by_row(spark):
+    """Rows that share a doc_id, or have none, stand for themselves."""
+    item = "a passage that is long enough to be an item of its own"
+    df = docs(spark, [(1, item), (1, "clean"), (None, "so " + item), (None, "clean too"), (None, None)])
+    kept = decontaminate.drop_leaks(df, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "clean too"), (1, "clean")] and kept.columns == df.columns
+
+
+@pytest.mark.parametrize("chunk,block", [(64, 1 << 20), (300, 150), (1 << 19, 1 << 20)])
+def test_leaks_in_a_long_document(spark, monkeypatch, chunk, block):
+    rng = random.Random(19)
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    items = [" ".join(words(rng, 12)) for _ in range(6)]
+    body = [" ".join(words(rng, 60)) for _ in range(7)]
+    text = "".join(f"{b} {edits(rng, i, 2)} " for b, i in zip(body, items)) + body[6]
+    index = decontaminate.Index.of(list(enumerate(items)), 8, 0.1)
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+    found = decontaminate.search(decontaminate.plain(text), index)
+    assert sorted(f[0] for f in found) == list(range(6)) and all(f[1] <= 2 for f in found)
+    assert {r.item_id for r in decontaminate.find_leaks(docs(spark, [text]), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()} == set(range(6))
+
+
+def test_banded_alignment_agrees_with_the_whole_table():
+    rng = random.Random(23)
+    for _ in range(300):
+        item = "".join(rng.choices("abcd", k=rng.randrange(1, 25)))
+        text = "".join(rng.choices("abcd", k=rng.randrange(0, 12))) + edits(rng, item + "a", rng.randrange(0, 4)) + "".join(rng.choices("abcd", k=rng.randrange(0, 12)))
+        low, width, k = -len(item), len(item) + len(text) + 2, rng.randrange(0, 6)
+        got, d = decontaminate.align(decontaminate.points(item), decontaminate.points(text), low, width, k), brute_distance(item, text)
+        assert (got is None) == (d > k), (item, text, d, got)
+        assert got is None or (got[0] == d and 0 <= got[1] <= got[2] <= len(text) and brute_distance(item, text[got[1] : got[2]]) == d)
+        # a band that holds the best passage's diagonals finds it too
+        if got:
+            again = decontaminate.align(decontaminate.points(item), decontaminate.points(text), got[1] - d, 2 * d + 1, k)
+            assert again and again[0] == d
+
+
 # --- substring dedup
 
 
