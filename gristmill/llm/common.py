@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -60,8 +61,22 @@ def scratch(spark: SparkSession):
         remove(spark, folder)
 
 
+def lean() -> None:
+    """Makes this Python worker give large arrays back to the system when it frees them, where the C library can."""
+
+    def make():
+        try:
+            ctypes.CDLL(None).mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD: also, it no longer grows
+        except (AttributeError, OSError):
+            pass
+        return True
+
+    kept("lean", make)
+
+
 def small_batches(batches, column: str = "text"):
     """The same rows in slices of about BATCH_BYTES of one column, one row at least."""
+    lean()
     for batch in batches:
         rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(column).nbytes)))
         if rows >= batch.num_rows:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, distinct_ids, drop, id_and_text, parts, pick, scratch, store, work_dir
+from .common import components, distinct_ids, drop, id_and_text, lean, parts, pick, scratch, small_batches, store, work_dir
 from .textkernel import set_key, shingle_sets
 
 K = 5
@@ -124,7 +124,7 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
 
     def run(batches):
         held, count = [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             ns, cids, bits = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 ns.append(len(s))
@@ -155,6 +155,7 @@ def frequent(blobs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     width = (1 << BITS) // buckets
 
     def count(key, rows):
+        lean()
         base = np.uint64(key[0].as_py() * width)
         t = np.concatenate([base + np.cumsum(unplanes(b.as_buffer(), "<u4"), dtype=np.uint64) for b in rows["blob"]])
         t.sort()
@@ -209,7 +210,7 @@ def postings(docs: DataFrame, k: int, buckets: int, hot: tuple[np.ndarray, np.nd
             rows = list(flush())
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "salt", "blob"])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             for s in shingle_sets(batch.column("text").to_pylist(), k):
                 if not len(s) or (cid := set_key(s)) in seen:
                     continue
@@ -273,6 +274,7 @@ def matches(key, postings):
     """Of the posting lists of one bucket: pairs of short lists with their number of matches and whether
     one of them leaves room, pairs of long lists' members with hubs (sure), and the long lists' postings (y null).
     A part of a salted list is long whatever its length: its members may link with those of other parts."""
+    lean()
     bucket, salt = key[0].as_py(), key[1].as_py()
     short = 0 if salt else SHORT
     p = np.concatenate([np.frombuffer(b.as_buffer(), dtype=POSTING) for b in postings["blob"]])
@@ -348,7 +350,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
 
     def sets(batches):
         sent = set()
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, held = [], 0
             for i, (cid, s) in enumerate(zip(batch.column("cid").to_pylist(), shingle_sets(batch.column("text").to_pylist(), k))):
                 if cid in sent or int(signed(np.array([set_key(s)], dtype=np.uint64))[0]) != cid:
@@ -369,6 +371,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["hub", "salt", "cid", "blob"])
 
     def compare(key, rows):
+        lean()
         own = {c: np.frombuffer(b.as_buffer(), dtype=np.uint64) for c, b in zip(rows["cid"].to_pylist(), rows["blob"])}
         at = key[0].as_py()
         hub = own.pop(at)
@@ -412,12 +415,13 @@ def near_maps(a: dict, b: dict, left: slice) -> np.ndarray:
 
 def arrays(rows: pa.Table) -> dict:
     """The fixed-width columns; the maps as unsigned numbers."""
-    out = {c: rows[c].to_numpy() for c in rows.column_names if c != "lists"}
+    out = {c: rows[c].to_numpy() for c in rows.column_names}
     return out | {c: out[c].view(np.uint64) for c in MAP}
 
 
 def nearest(key, rows):
     """For each member of a block of a list, the member of another component with the nearest parity map, if the two can link."""
+    lean()
     own = arrays(rows)
     x, n, root = own["x"], own["n"], own["root"]
     xs, ys = [], []
@@ -436,10 +440,10 @@ def nearest(key, rows):
 
 def meet_blocks(key, left, right):
     """Pairs of a list's members, left ones outside its largest component, that can link if this is their first long
-    list in common: with the number of long lists in common (null: unknown) and the matches they need."""
-    token = key[0].as_py()
+    list in common, and the matches they need."""
+    lean()
     a, b = arrays(left), arrays(right)
-    found = []
+    ps, qs = [], []
     for first in range(0, len(a["x"]), 256):
         at = slice(first, first + 256)
         n, m = a["n"][at, None], b["n"]
@@ -449,31 +453,19 @@ def meet_blocks(key, left, right):
             # sets that link differ in no more than a seventh of their elements
             ok &= near_maps(a, b, at) * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
         i, j = np.nonzero(ok)
-        found += zip((i + first).tolist(), j.tolist())
-    lists = [[None if v is None else np.array(v) for v in side["lists"].to_pylist()] if found else [] for side in (left, right)]
-    rows = []
-    for i, j in found:
-        own, other = lists[0][i], lists[1][j]
-        shared = None
-        if own is not None and other is not None:
-            both = own[np.isin(own, other)]
-            if both[0] != token:
-                continue  # the pair is made in the first list that has both
-            shared = len(both)
-        x, y = int(a["x"][i]), int(b["x"][j])
-        rows.append((min(x, y), max(x, y), shared, int(min(a["level"][i], b["level"][j]))))
-    columns = list(zip(*rows)) if rows else [()] * 4
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "long", "need"])
+        ps.append(i + first)
+        qs.append(j)
+    i, j = np.concatenate(ps), np.concatenate(qs)
+    x, y = a["x"][i], b["x"][j]
+    return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y), "need": np.minimum(a["level"][i], b["level"][j]).astype(np.int64)})
 
 
 def across(rows: DataFrame, counted: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs of long lists' members in different components, with enough matches, not yet verified.
 
-    Each member carries its lists in the global order or, with more than LISTS, none: then the pair
-    is made in each list and verified whatever its matches."""
-    found = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda s: s["token"])
-    lists = rows.groupBy("x").agg(F.count("*").alias("n_lists"), F.when(F.count("*") <= LISTS, found).alias("lists"))
-    rows = rows.join(lists, "x")
+    The lists that two members have in common count as matches; a member of more than LISTS counts as having all."""
+    lists = rows.groupBy("x").agg(F.count("*").alias("n_lists"), F.when(F.count("*") <= LISTS, F.collect_list("token")).alias("lists"))
+    lists = store(lists, "join-lists")
     blocks = rows.groupBy("token", "block").agg(F.count_if(~F.col("in_big")).alias("small"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     before = F.sum("small").over(Window.partitionBy("token").orderBy("block")) - F.col("small")
     blocks = store(blocks.withColumn("part", F.floor(before / BLOCK)), "join-blocks")
@@ -482,16 +474,20 @@ def across(rows: DataFrame, counted: DataFrame, label: DataFrame) -> DataFrame:
     can = F.least("p_hi", "hi") * DENOMINATOR >= F.greatest("p_lo", "lo") * NUMERATOR
     can &= F.least("p_rest", "rest") * (NUMERATOR + DENOMINATOR) >= (F.col("p_lo") + F.col("lo")) * NUMERATOR
     units = parts_of.join(blocks.drop("part", "small"), "token").where(can).select("token", "part", F.col("block").alias("other"))
-    own = ["x", "n", "pos", "level", "root", "in_big", "lists", *MAP]
+    own = ["x", "n", "pos", "level", "root", "in_big", *MAP]
     left = rows.where(~F.col("in_big")).join(small.select("token", "block", "part"), ["token", "block"]).join(units, ["token", "part"])
     right = rows.withColumnRenamed("block", "other").join(units, ["token", "other"])
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # attributes of its own
     keys = ["token", "part", "other"]
-    met = left.select(*keys, *own).groupBy(*keys).cogroup(right.select(*keys, *own).groupBy(*keys)).applyInArrow(meet_blocks, "x bigint, y bigint, long bigint, need bigint")
-    met = met.groupBy("x", "y").agg(F.max("long").alias("long"), F.max("need").alias("need"))
+    met = left.select(*keys, *own).groupBy(*keys).cogroup(right.select(*keys, *own).groupBy(*keys)).applyInArrow(meet_blocks, "x bigint, y bigint, need bigint")
+    met = met.groupBy("x", "y").agg(F.max("need").alias("need"))
+    for end in ("x", "y"):
+        met = met.join(lists.select(F.col("x").alias(end), F.col("lists").alias(f"{end}_lists")), end)
+    met = met.withColumn("long", F.size(F.array_intersect("x_lists", "y_lists")))
     known = counted.groupBy("x", "y").agg(F.sum("matches").alias("matches"), F.max("done").alias("done"))
     met = met.join(known, ["x", "y"], "left").where(~F.coalesce("done", F.lit(False)))
-    met = met.where(F.col("long").isNull() | (F.col("long") + F.coalesce("matches", F.lit(0)) >= F.col("need"))).select("x", "y")
+    unknown = F.col("x_lists").isNull() | F.col("y_lists").isNull()
+    met = met.where(unknown | (F.col("long") + F.coalesce("matches", F.lit(0)) >= F.col("need"))).select("x", "y")
     # pairs whose first match was in a short list may have others in long ones
     late = counted.where("room and not done")
     for end in ("x", "y"):
