@@ -5,35 +5,45 @@ the one with the least hash, so an exact run of K + W - 1 words common to two
 documents always shares a seed.  Documents with the same words are one class.
 Equal seeds meet in one bucket; each occurrence is linked with the seed's
 first class and with the class before its own, so a passage in any number of
-classes makes links in proportion to its occurrences.  As different seeds may
-choose different partners, all runs of `least` words are linked too, each with
-its first class: an occurrence of a run that repeats has a partner with it whole.  A
-run meets its equals where the least window inside it sends it, so neighbouring
-runs travel together, 8 bytes each.  The links of a pair of
+classes makes links in proportion to its occurrences.  The links of a pair of
 classes are chained in order in both, by a tree over the places in the second,
 with a cost for gaps; chains are then aligned word by word: seeds are
 extended to exact blocks, and what lies between blocks is aligned by edit
 distance.  Passages of at least `least` words in both, of which the share
 `same` is aligned, are the result.
 
+Different seeds may choose different partners, so a second round works on what
+the first left open: text whose seeds other classes share, but that lies in no
+passage found.  There all runs of `least` words are linked, each with the first class
+that has it whole, and all pairs of shared seeds up to NEIGHBOURS places apart, each
+with the first class that has both.  So every exact run of `least` words that another
+class has is found, and a fuzzy passage wherever a pair of its seeds, which may
+stand on two sides of an edit, tells its partner from other documents.
+A run meets its equals where the least window inside it sends it, so
+neighbouring runs travel together, 8 bytes each.
+
+What very many classes share is linked within a task's batch first, and only
+its first class travels on, so no bucket holds all occurrences of a common line.
+
 Defined results: null, blank and short texts have no passage; a document with
 `least` or more words that has copies repeats as a whole; repeats within one
-document alone do not count; repeated rows are copies; rows with a null doc_id
-are left out, as a result could not name them.
+document alone do not count; repeated rows are copies; a row with a null
+doc_id takes part like any other, and as a partner has a null other_id.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from heapq import heappop, heappush
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, scratch, store
-from .ngram_join import n_buckets, signed
+from .common import lean, scratch, small_batches, store, work_dir
+from .ngram_join import located, n_buckets, signed
 from .textkernel import WEIGHT, chunks, mix, windows, words
 
 K, W = 8, 12
@@ -44,14 +54,23 @@ MARGIN, DROP = 48, 8
 SLICES, PAIRS = 1 << 22, 256
 #: Words that two neighbouring seeds of a chain may lie apart, and the price of a word of gap.
 GAP, PRICE = 64, 0.05
-#: Regions of one class that go to it together, and such groups that are broadcast; more are joined by a shuffle.
-ASKED, BROADCAST_ASKS = 256, 250_000
+#: Regions of one class that go to it together, and regions that are broadcast (24 bytes each); more are joined by a shuffle.
+ASKED, BROADCAST_ASKS = 256, 500_000
+#: Classes that are broadcast to be read again, with their shared places (4 bytes each) and covered ranges; more are joined by a shuffle.
+BROADCAST_PLACES = 2_000_000
 HELD = 1_000_000
+#: Occurrences of one seed, pair or run in a batch above which they are linked there.
+COMMON = 32
+#: Shared seeds between which pairs are made.
+NEIGHBOURS = 4
 
 SEED = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4")])
-NONE = (0.0, -1)
+#: Two seeds of a class, at place and far; open: in no passage found.
+PAIR = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4"), ("far", "<u4"), ("open", "u1")])
 #: Neighbouring runs of a class that travel together.
-PART = np.dtype([("cid", "<i8"), ("place", "<u4"), ("n", "<u4")])
+PART = np.dtype([("cid", "<i8"), ("place", "<u4"), ("n", "<u4"), ("open", "u1")])
+RUN = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4"), ("open", "u1")])
+NONE = (0.0, -1)
 
 
 def word_hashes(texts):
@@ -107,34 +126,76 @@ def long_windows(h: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.nda
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, cid, words."""
+    """doc_id, key, cid, words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             got = [(signed(np.array([text_key(h)], dtype=np.uint64))[0], len(h)) for h in word_hashes(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32())], ["doc_id", "cid", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32())], ["doc_id", "key", "cid", "words"])
+
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, cid bigint, words int")
+
+
+LINK = "x bigint, y bigint, px int, py int, n int"
+#: What a pass over the texts writes, by kind: items that go to buckets (seeds or pairs), runs that do, links made on the spot.
+ITEMS, RUNS, LINKS = range(3)
+PASS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("hashes", pa.binary()), *[(c, pa.int64()) for c in "xy"], *[(c, pa.int32()) for c in ("px", "py", "n")]])
+
+
+def padded(**columns) -> pa.RecordBatch:
+    """A batch of PASS; columns not given are null."""
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in PASS]
+    return pa.RecordBatch.from_arrays(arrays, schema=PASS)
+
+
+def blobs_of(bucket: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(bucket, kind="stable")
+    items, bucket = items[order], bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return padded(kind=np.full(len(cut), ITEMS), bucket=bucket[cut], blob=[items[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(items)))])
+
+
+def links_of(table: pa.Table) -> pa.RecordBatch:
+    return padded(kind=np.full(len(table), LINKS), **{c: table[c].to_numpy() for c in table.column_names})
 
-    return docs.mapInArrow(run, "doc_id bigint, cid bigint, words int")
+
+def combine(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(items that travel on, x, y): items of a batch whose hash is common are linked here, and those of its first class travel on."""
+    _, which, times = np.unique(p["hash"], return_inverse=True, return_counts=True)
+    common = times[which] > COMMON
+    if not common.any():
+        return p, p[:0], p[:0]
+    own, p = p[common], p[~common]
+    return np.concatenate([p, first_class(own)]), *partners(own, with_before)
+
+
+def write_pass(texts: DataFrame, run, tag: str) -> dict[int, DataFrame]:
+    """Writes what run() makes of texts (RecordBatches of PASS), and reads it back by kind."""
+    spark = texts.sparkSession
+    path = f"{work_dir(spark)}/{tag}-{uuid4().hex}"
+    columns = "bucket int, blob binary, hashes binary, " + LINK
+    texts.mapInArrow(run, "kind int, " + columns).write.partitionBy("kind").parquet(path)
+    found = spark.read.schema(columns + ", kind int").parquet(path)
+    return {kind: found.where(F.col("kind") == kind).drop("kind") for kind in (ITEMS, RUNS, LINKS)}
+
+
+def cut_items(held: list, shift, with_before: bool, links):
+    """The record batches of the items in held; links(x, y): the table of the links made on the spot."""
+    p, x, y = combine(np.concatenate(held), with_before)
+    yield blobs_of((p["hash"] >> shift).astype(np.int64), p)
+    if len(x):
+        yield links_of(links(x, y))
 
 
 def seeds(docs: DataFrame, buckets: int, k: int, w: int) -> DataFrame:
-    """(bucket, blob): the seeds of each class, once for each task that reads it."""
+    """Links of the seeds of all classes."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
 
     def run(batches):
         seen: set[int] = set()
         held, count = [], 0
-
-        def out():
-            p = np.concatenate(held)
-            bucket = (p["hash"] >> shift).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            p, bucket = p[order], bucket[order]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(cut[1:], len(p))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([p[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["bucket", "blob"])
-
-        for batch in batches:
+        for batch in small_batches(batches):
             for h in word_hashes(batch.column("text").to_pylist()):
                 if len(h) < k or (cid := text_key(h)) in seen:
                     continue
@@ -145,52 +206,152 @@ def seeds(docs: DataFrame, buckets: int, k: int, w: int) -> DataFrame:
                 held.append(row)
                 count += len(row)
                 if count >= HELD:
-                    yield out()
+                    yield from cut_items(held, shift, True, lambda x, y: linked(x, y, k))
                     held, count = [], 0
         if count:
-            yield out()
-
-    return docs.mapInArrow(run, "bucket int, blob binary")
-
-
-def runs(docs: DataFrame, buckets: int, k: int, length: int) -> DataFrame:
-    """(bucket, parts, hashes): all runs of `length` words of each class, once for each task that reads it."""
+            yield from cut_items(held, shift, True, lambda x, y: linked(x, y, k))
+
+    found = write_pass(docs, run, "substring-seeds")
+    met = found[ITEMS].groupBy("bucket").applyInArrow(lambda key, blobs: meet(key, blobs, k), LINK)
+    return store(met.unionByName(found[LINKS].select(met.columns)), "substring-links")
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether some range from starts to ends holds all from first to last; first must be ascending."""
+    if not len(starts):
+        return np.zeros(len(first), dtype=bool)
+    order = np.argsort(starts, kind="stable")
+    far = np.maximum.accumulate(ends[order])
+    at = np.searchsorted(starts[order], first, side="right") - 1
+    return (at >= 0) & (far[at] >= last)
+
+
+def open_runs(h: np.ndarray, at: np.ndarray, shared: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, w: int, length: int):
+    """(low, parts without cid, hashes) of the runs of `length` words whose inner seeds (at: places; shared: whether others have them) are all shared."""
+    hashes, low = long_windows(h, k, length)
+    if not len(hashes):
+        return None
+    lone = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(lone, at[~shared] + 1, 1)
+    lone = np.cumsum(lone)
+    i = np.arange(len(hashes))
+    # a seed less than w - 1 places from an end of the run may owe its choice to words beyond
+    inner = np.minimum(i + w - 1, len(h)), np.minimum(i + length - k - w + 2, len(h))
+    keep = (inner[1] <= inner[0]) | (lone[np.maximum(inner[1], inner[0])] - lone[inner[0]] == 0)
+    i, hashes, low = i[keep], hashes[keep], low[keep]
+    if not len(i):
+        return None
+    free = ~covered(starts, ends, i, i + length)
+    first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (np.diff(i) != 1) | (free[1:] != free[:-1])))
+    p = np.empty(len(first), dtype=PART)
+    p["place"], p["n"], p["open"] = i[first], np.diff(np.append(first, len(i))), free[first]
+    return low[first], p, hashes
+
+
+def seed_pairs(at: np.ndarray, g: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """PAIR items, without cid, of the shared seeds g at places at."""
+    out = []
+    for d in range(1, NEIGHBOURS + 1):
+        a, b = np.arange(max(0, len(at) - d)), np.arange(d, len(at)) if len(at) > d else np.arange(0)
+        near = at[b] - at[a] <= GAP + k
+        a, b = a[near], b[near]
+        p = np.empty(len(a), dtype=PAIR)
+        with np.errstate(over="ignore"):
+            p["hash"] = mix(g[a] * WEIGHT[0] + g[b] * WEIGHT[1])
+        p["place"], p["far"] = at[a], at[b]
+        p["open"] = ~covered(starts, ends, at[a], at[b] + k)
+        out.append(p)
+    return np.concatenate(out)
+
+
+def second_links(docs: DataFrame, classes: DataFrame, links: DataFrame, found: DataFrame, buckets: int, k: int, w: int, length: int) -> DataFrame:
+    """Links of the runs and of the pairs of shared seeds that lie in no passage found."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
+    places = links.select(F.col("x").alias("cid"), F.col("px").alias("place")).union(links.select("y", "py")).distinct()
+    places = places.groupBy("cid").agg(F.collect_list("place").alias("places")).where(F.size("places") > 1)
+    ranges = found.groupBy("cid", "start").agg(F.max("end").alias("end")).groupBy("cid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    wanted = store(places.join(ranges, "cid", "left").join(classes.select("cid", "key"), "cid"), "substring-open")
+    size = wanted.agg(F.sum(F.size("places") + 2 * F.coalesce(F.size("starts"), F.lit(0)) + 8)).first()[0] or 0
+    texts = docs.join(F.broadcast(wanted) if size <= BROADCAST_PLACES else wanted, "key").select("text", "cid", "places", "starts", "ends")
+
+    def arrays(column, i) -> np.ndarray:
+        value = column[i].values
+        return np.empty(0, dtype=np.int64) if value is None else value.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def run(batches):
         seen: set[int] = set()
-        held, count = [], 0
-
-        def out():
-            bucket, p, hashes = (np.concatenate(c) for c in zip(*held))
-            n = p["n"].astype(np.int64)
-            begin = np.cumsum(n) - n
-            order = np.argsort(bucket, kind="stable")
-            bucket, p, n, begin = bucket[order], p[order], n[order], begin[order]
-            end = np.cumsum(n)
-            hashes = hashes[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            ends = np.append(cut[1:], len(p))
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array([p[a:b].tobytes() for a, b in zip(cut, ends)], pa.binary()), pa.array([hashes[end[a] - n[a] : end[b - 1]].tobytes() for a, b in zip(cut, ends)], pa.binary())], ["bucket", "parts", "hashes"])
-
-        for batch in batches:
-            for h in word_hashes(batch.column("text").to_pylist()):
-                if len(h) < length or (cid := text_key(h)) in seen:
-                    continue
+        pairs, parts, count = [], [], 0
+        for batch in small_batches(batches):
+            cids = batch.column("cid").to_pylist()
+            for i, h in enumerate(word_hashes(batch.column("text").to_pylist())):
+                cid = text_key(h)
+                if cid in seen or int(signed(np.array([cid], dtype=np.uint64))[0]) != cids[i]:
+                    continue  # a copy, or another row with this doc_id
                 seen.add(cid)
-                hashes, low = long_windows(h, k, length)  # least hashes are small: mixed again, they fill the buckets evenly
-                first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                p = np.empty(len(first), dtype=PART)
-                p["cid"], p["place"], p["n"] = signed(np.array([cid], dtype=np.uint64))[0], first, np.diff(np.append(first, len(low)))
-                held.append(((mix(low[first]) >> shift).astype(np.int64), p, hashes))
-                count += len(hashes)
+                starts, ends = arrays(batch.column("starts"), i), arrays(batch.column("ends"), i)
+                at, g = minimisers(h, k, w)
+                shared = np.isin(at, arrays(batch.column("places"), i))
+                own = seed_pairs(at[shared], g[shared], starts, ends, k)
+                own["cid"] = cids[i]
+                pairs.append(own)
+                count += len(own)
+                if (more := open_runs(h, at, shared, starts, ends, k, w, length)) is not None:
+                    more[1]["cid"] = cids[i]
+                    parts.append(more)
+                    count += len(more[2])
                 if count >= HELD:
-                    yield out()
-                    held, count = [], 0
+                    yield from out(pairs, parts)
+                    pairs, parts, count = [], [], 0
         if count:
-            yield out()
-
-    return docs.mapInArrow(run, "bucket int, parts binary, hashes binary")
+            yield from out(pairs, parts)
+
+    def out(pairs, parts):
+        yield from cut_items(pairs, shift, False, lambda x, y: linked_pairs(x, y, k))
+        if parts:
+            yield from cut_runs(parts, shift, length)
+
+    written = write_pass(texts, run, "substring-second")
+    by_pairs = written[ITEMS].groupBy("bucket").applyInArrow(lambda key, blobs: meet_pairs(key, blobs, k), LINK)
+    by_runs = written[RUNS].groupBy("bucket").applyInArrow(lambda key, blobs: meet_runs(key, blobs, length), LINK)
+    return store(by_pairs.unionByName(by_runs).unionByName(written[LINKS].select(by_pairs.columns)), "substring-links")
+
+
+def cut_runs(parts: list, shift, length: int):
+    """The record batches of runs. Parts that are the same in very many classes are linked here, and the first travels on."""
+    low, p, hashes = (np.concatenate(c) for c in zip(*parts))
+    n = p["n"].astype(np.int64)
+    end = np.cumsum(n)
+    key = mix(hashes[end - n] ^ mix(hashes[end - 1] ^ n.astype(np.uint64)))
+    # least hashes are small: mixed again, they fill the buckets evenly
+    bucket = (mix(low) >> shift).astype(np.int64)
+    same = np.zeros(len(p), dtype=RUN)
+    for c in ("cid", "place", "open"):
+        same[c] = p[c]
+    same["hash"] = key
+    _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+    common = times[which] > COMMON
+    stay = ~common
+    if common.any():
+        own = same[common]
+        x, y = partners(own, False)
+        free = (x["open"] | y["open"]).astype(bool)
+        words_in = dict(zip(key[common].tolist(), n[common].tolist()))
+        if free.any():
+            lengths = np.array([words_in[k] for k in x["hash"][free].tolist()], dtype=np.int64) + length - 1
+            yield links_of(linked(x[free], y[free], lengths))
+        ahead = first_class(own)
+        stay |= common & np.isin(same[["hash", "cid"]], ahead[["hash", "cid"]])
+    begin = end - n
+    at = np.flatnonzero(stay)
+    at = at[np.argsort(bucket[at], kind="stable")]
+    bucket, p, n, begin = bucket[at], p[at], n[at], begin[at]
+    if not len(p):
+        return
+    end = np.cumsum(n)
+    hashes = hashes[np.repeat(begin - (end - n), n) + np.arange(end[-1])]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(cut[1:], len(p))
+    yield padded(kind=np.full(len(cut), RUNS), bucket=bucket[cut], blob=[p[a:b].tobytes() for a, b in zip(cut, ends)], hashes=[hashes[end[a] - n[a] : end[b - 1]].tobytes() for a, b in zip(cut, ends)])
 
 
 def _sizes(p: np.ndarray):
@@ -202,14 +363,27 @@ def _sizes(p: np.ndarray):
     return sizes[run], sizes, starts, run
 
 
-def partners(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links of occurrences with equal hashes in different classes, x in the class with the greater cid: each occurrence
-    has one at least, in the hash's first class or, if it is there, in the second; with_before: and one in the class before its own."""
+def ranked(p: np.ndarray) -> np.ndarray:
+    """The items without repeats, by hash, then class: of a hash's classes, those with more of its places come
+    first (a run of one word reaches as far as the longest), then by cid."""
     p = p[np.lexsort((p["place"], p["cid"], p["hash"]))]
     p = p[np.append(True, p[1:] != p[:-1])]
-    # of a seed's classes, those with more of its places come first: a run of one word reaches as far as the longest
     many = _sizes(p)[0]
-    p = p[np.lexsort((p["place"], p["cid"], -many, p["hash"]))]
+    return p[np.lexsort((p["place"], p["cid"], -many, p["hash"]))]
+
+
+def first_class(p: np.ndarray) -> np.ndarray:
+    """The items of each hash's first class."""
+    p = ranked(p)
+    new = np.append(True, p["hash"][1:] != p["hash"][:-1])
+    run = _sizes(p)[3]
+    return p[run == run[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+
+
+def partners(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of occurrences with equal hashes in different classes, x in the class with the greater cid: each occurrence
+    has one at least, in the hash's first class or, if it is there, in the second; with_before: and one in the class before its own."""
+    p = ranked(p)
     new = np.append(True, p["hash"][1:] != p["hash"][:-1])
     _, sizes, starts, run = _sizes(p)
     first = run[np.flatnonzero(new)[np.cumsum(new) - 1]]  # run of the seed's first class
@@ -234,26 +408,48 @@ def linked(x: np.ndarray, y: np.ndarray, n) -> pa.Table:
     return pa.table({"x": x["cid"].copy(), "y": y["cid"].copy(), "px": x["place"].astype(np.int32), "py": y["place"].astype(np.int32), "n": np.broadcast_to(n, len(x)).astype(np.int32)})
 
 
+def items_of(blobs, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in blobs["blob"]])
+
+
 def meet(key, blobs, k: int):
     """Links of the seeds of one bucket: (x, y, px, py, n)."""
-    p = np.concatenate([np.frombuffer(b.as_buffer(), dtype=SEED) for b in blobs["blob"]])
-    return linked(*partners(p, True), k)
+    lean()
+    return linked(*partners(items_of(blobs, SEED), True), k)
+
+
+def linked_pairs(x: np.ndarray, y: np.ndarray, k: int) -> pa.Table:
+    """Both seeds of each pair that is open in one class at least."""
+    free = (x["open"] | y["open"]).astype(bool)
+    x, y = x[free], y[free]
+    first, second = linked(x, y, k), linked(x, y, k)
+    second = second.set_column(2, "px", pa.array(x["far"].astype(np.int32))).set_column(3, "py", pa.array(y["far"].astype(np.int32)))
+    return pa.concat_tables([first, second])
+
+
+def meet_pairs(key, blobs, k: int):
+    """Links of the pairs of seeds of one bucket."""
+    lean()
+    return linked_pairs(*partners(items_of(blobs, PAIR), False), k)
 
 
 def meet_runs(key, blobs, length: int):
     """Links of the exact runs of one bucket: (x, y, px, py, n); runs that continue each other in both are one link."""
-    parts = np.concatenate([np.frombuffer(b.as_buffer(), dtype=PART) for b in blobs["parts"]])
+    lean()
+    parts = items_of(blobs, PART)
     hashes = np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.uint64) for b in blobs["hashes"]])
     n = parts["n"].astype(np.int64)
     order = np.argsort(hashes)
     equal = hashes[order[1:]] == hashes[order[:-1]]
     order = order[np.append(equal, False) | np.append(False, equal)]  # most runs occur once
     part = np.repeat(np.arange(len(parts)), n)[order]
-    p = np.empty(len(order), dtype=SEED)
-    p["hash"], p["cid"], p["place"] = hashes[order], parts["cid"][part], parts["place"][part] + order - (np.cumsum(n) - n)[part]
+    p = np.empty(len(order), dtype=RUN)
+    p["hash"], p["cid"], p["open"], p["place"] = hashes[order], parts["cid"][part], parts["open"][part], parts["place"][part] + order - (np.cumsum(n) - n)[part]
     if not len(p):
         return linked(p, p, length)
     x, y = partners(p, False)
+    free = (x["open"] | y["open"]).astype(bool)
+    x, y = x[free], y[free]
     if not len(x):
         return linked(x, y, length)
     shift = x["place"].astype(np.int64) - y["place"]
@@ -371,6 +567,7 @@ def candidates(links: DataFrame, k: int, least: int) -> DataFrame:
     groups = links.groupBy("x", "y").agg(F.collect_list(F.struct("px", "py", "n")).alias("at"), F.max("n").alias("most")).where((F.size("at") > 1) | (F.col("most") > k)).drop("most")
 
     def run(batches):
+        lean()
         for batch in batches:
             rows = []
             at = batch.column("at")
@@ -444,13 +641,15 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
     asks = found.select(F.col("x").alias("cid"), "no", F.lit(0).alias("side"), low("ax").alias("a"), (F.col("bx") + MARGIN).alias("b"))
     asks = asks.union(found.select(F.col("y").alias("cid"), "no", F.lit(1).alias("side"), low("ay").alias("a"), (F.col("by") + MARGIN).alias("b")))
     # a class that very many pairs ask for is asked in parts
-    salt = F.pmod("no", F.ceil(F.count("*").over(Window.partitionBy("cid")) / ASKED))
-    asks = asks.withColumn("salt", salt).groupBy("cid", "salt").agg(F.collect_list(F.struct("no", "side", "a", "b")).alias("asks"))
-    asks = store(asks.join(classes, "cid").select("doc_id", "cid", "asks"), "substring-asks")
-    texts = docs.join(F.broadcast(asks) if asks.count() <= BROADCAST_ASKS else asks, "doc_id").select("text", "cid", "asks")
+    many = asks.groupBy("cid").count().where(F.col("count") > ASKED)
+    asks = asks.join(many, "cid", "left").withColumn("salt", F.pmod("no", F.ceil(F.coalesce("count", F.lit(1)) / ASKED)))
+    asks = asks.groupBy("cid", "salt").agg(F.collect_list(F.struct("no", "side", "a", "b")).alias("asks"))
+    asks = store(asks.join(classes, "cid").select("key", "cid", "asks"), "substring-asks")
+    few = 2 * found.count() <= BROADCAST_ASKS
+    texts = docs.join(F.broadcast(asks) if few else asks, "key").select("text", "cid", "asks")
 
     def slices(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, held, last, h = [], 0, None, None
             texts = batch.column("text")
             for i, cid in enumerate(batch.column("cid").to_pylist()):
@@ -500,14 +699,15 @@ def find_repeats(docs: DataFrame, k: int = K, w: int = W, least: int = LEAST, sa
 
 
 def _repeats(docs: DataFrame, k: int, w: int, least: int, same: float) -> DataFrame:
-    docs = id_and_text(docs).where("doc_id is not null")
+    docs = located(docs)
     rows = store(describe(docs), "substring-rows").where(F.col("words") >= F.lit(k))
-    classes = rows.groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    schema, buckets, length = "x bigint, y bigint, px int, py int, n int", n_buckets(docs), max(k, least)
-    links = seeds(docs, buckets, k, w).groupBy("bucket").applyInArrow(lambda key, blobs: meet(key, blobs, k), schema)
-    exact = runs(docs, buckets, k, length).groupBy("bucket").applyInArrow(lambda key, blobs: meet_runs(key, blobs, length), schema)
-    links = links.unionByName(exact)
-    found = passages(docs, classes, candidates(links, k, least), least, same)
+    classes = rows.groupBy("cid").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"))
+    buckets, length = n_buckets(docs), max(k, least)
+    links = seeds(docs, buckets, k, w)
+    found = store(passages(docs, classes, candidates(links, k, least), least, same), "substring-passages")
+    second = second_links(docs, classes, links, found, buckets, k, w, length)
+    again = links.join(second.select("x", "y").distinct(), ["x", "y"], "left_semi").unionByName(second)
+    found = found.union(passages(docs, classes, candidates(again, k, least), least, same))
     named = classes.select(F.col("cid").alias("other"), F.col("doc_id").alias("other_id"))
     found = found.join(named, "other").groupBy("cid", "start", "end").agg(F.min(F.struct("other_id", "other_start", "other_end", "matched")).alias("o"))
     spans = rows.select("doc_id", "cid").join(found, "cid").select("doc_id", "start", "end", "o.*")

@@ -634,6 +634,43 @@ def test_repeats_of_common_sentences(spark):
     assert {r.doc_id for r in rows} == set(with_passage)
 
 
+def test_repeats_of_common_halves_with_an_edit(spark):
+    """Two documents share a passage but for one word in its middle; many others have either half."""
+    rng = random.Random(52)
+    texts, want = [], set()
+    for _ in range(10):
+        half = [words(rng, 30, 9000), words(rng, 30, 9000)]
+        for h in half:
+            texts += [" ".join(words(rng, 25, 9000) + h + words(rng, 25, 9000)) for _ in range(rng.choice([0, 2, 5, 30]))]
+        for middle in ([], ["changed"]):
+            want.add(len(texts))
+            texts.append(" ".join(words(rng, 25, 9000) + half[0] + middle + half[1] + words(rng, 25, 9000)))
+    rows = substring_dedup.find_repeats(docs(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == want
+
+
+@pytest.mark.parametrize("common,held", [(1, 300), (4, 2000), (32, 1_000_000)])
+def test_repeats_of_what_very_many_share(spark, monkeypatch, common, held):
+    """Links made within batches: every document of a large group still has a partner."""
+    monkeypatch.setattr(substring_dedup, "COMMON", common)
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    rng = random.Random(53)
+    line, passage = words(rng, 20, 9000), words(rng, 70, 9000)
+    texts = [" ".join(words(rng, rng.randrange(20, 60), 9000) + line + words(rng, 30, 9000)) for _ in range(60)]
+    group = range(60, 130)
+    texts += [" ".join(words(rng, 15, 9000) + line + words(rng, 9, 9000) + passage[: rng.choice([55, 70])] + words(rng, 15, 9000)) for _ in group]
+    rows = substring_dedup.find_repeats(docs(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == set(group)
+
+
+def test_repeats_of_rows_without_doc_id(spark):
+    rng = random.Random(54)
+    passage = words(rng, 60, 9000)
+    df = docs(spark, [(None, " ".join(passage + words(rng, 20, 9000))), (None, " ".join(words(rng, 30, 9000))), (5, " ".join(words(rng, 20, 9000) + passage)), (6, " ".join(words(rng, 60, 9000)))])
+    found = [(r.doc_id, r.other_id, r.start) for r in substring_dedup.find_repeats(df).collect()]
+    assert sorted(found, key=str) == [(5, None, 20), (None, 5, 0)]
+
+
 def test_long_windows_agree_with_slices():
     h = np.random.default_rng(3).integers(0, 3, 300).astype(np.uint64)
     got, low = substring_dedup.long_windows(h, 2, 9)
@@ -651,7 +688,7 @@ def test_repeats_odd_rows(spark):
     same = " ".join(words(rng, 55, 5000))
     df = docs(spark, [None, "", passage + " end", "start " + " ".join(fuzzy), same, same, "go " * 90, (None, passage), " ".join(words(rng, 300, 5000))])
     found = {r.doc_id for r in substring_dedup.find_repeats(df).collect()}
-    assert found == {2, 3, 4, 5}
+    assert found == {2, 3, 4, 5, None}
     assert substring_dedup.find_repeats(docs(spark, [])).count() == 0
 
 
