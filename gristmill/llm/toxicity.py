@@ -1,18 +1,22 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon words, word beginnings (inflected forms share them) and
-patterns.  A generative model of the votes, fitted without labels by
-expectation maximisation, estimates how often each voter fires on toxic and on
-clean documents, and from the covariance that is left within each class which
-voters repeat each other: correlated voters share one voice.  A linear
-classifier is trained on the model's posterior labels.
-
-The lexicon is found in a bounded sample of labelled rows: words and word
-beginnings that are far more frequent in toxic documents.  Labels are used for
-the lexicon, for the class prior and for the final scale of the score.
+Voters are words of a fixed lexicon, words and word beginnings that are
+proposed by labelled documents (inflected forms share a beginning), and fixed
+patterns that know nothing of the words.  A row's label is one more voter, of a
+stated accuracy.  A generative model of the votes, fitted by expectation
+maximisation, estimates how often each voter fires on toxic and on clean
+documents, and from the covariance that is left within each class which voters
+repeat each other: correlated voters share one voice.  A linear classifier is
+trained on the model's posterior labels.
+
+The labelled sample is bounded.  Half of its rows propose voters, and the
+generative model sees all of them: a voter that fires by chance in one half is
+contradicted by the other.  A voter that does not fire abstains, as a word of
+one language says nothing about texts in another.
 
 Defined results: a null text is empty; an empty text gets the score of a
-document on which no voter fires; repeated rows are scored each.
+document on which no voter fires; repeated rows are scored each; without
+labelled rows, the score is that of the prior; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,18 +34,31 @@ from .common import id_and_text, small_batches
 from .labelled import logistic, predict, sigmoid
 
 #: Labelled rows that are read for training.
-SAMPLE = 6000
+SAMPLE = 10_000
 VOTERS = 120
+#: How often a label is right.
+LABELS = 0.98
 WORD = re.compile(r"[^\W\d_]+")
-SHOUT = re.compile(r"[A-Z]{3,}!")
-PATTERNS = ["shout", "dense"]
+# Words that vote whatever the sample says.
+LEXICON = (
+    "arse ass asshole bastard bitch bullshit clown coward crap creep cretin cunt damn dickhead disgusting dumb dumbass fool fraud fuck fucking garbage "
+    "hate hateful hideous idiot idiotic ignorant imbecile jerk kill lame liar loser lunatic maggot moron moronic nasty parasite pathetic pig prick "
+    "psycho puke rat retard retarded rubbish scum shit shitty sick slut stupid sucker trash ugly useless vermin vile weak whore worthless wretch"
+).split()
+# Patterns that vote whatever the words are.
+PATTERNS = {
+    "shout": re.compile(r"\b[A-Z]{3,}!"),
+    "exclaim": re.compile(r"!{2,}"),
+    "masked": re.compile(r"\b[A-Za-z]+[*#@$%]{2,}[A-Za-z]+\b"),
+    "address": re.compile(r"\byou(?:'re| are) (?:a |an |so |such )", re.I),
+    "threat": re.compile(r"\b(?:i|we) (?:will|'ll|gonna) \w+ you\b", re.I),
+}
 
 
 @dataclass
 class Model:
     lexicon: list[tuple[str, bool]]  # (letters, whether a whole word)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
     accuracies: np.ndarray | None = None
     voices: np.ndarray | None = None
 
@@ -103,28 +120,30 @@ class Votes:
                 for k in own:
                     if not more or not self.lexicon[k][1]:
                         out[k] += 1
-        hits = out[: self.n].sum()
-        out[self.n] = hits > 0 and SHOUT.search(text) is not None
-        out[self.n + 1] = hits * 400 > len(text)
+        for k, pattern in enumerate(PATTERNS.values()):
+            out[self.n + k] = pattern.search(text) is not None
         return out
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50):
-    """(posterior, rates, voices) of 0/1 votes.
+def label_model(votes: np.ndarray, prior: float, neutral: int = 0, labels: np.ndarray | None = None, silence: bool = True, rounds: int = 50):
+    """(posterior, rates, voices) of 0/1 votes. The last `neutral` voters are not taken to speak for either class at first.
 
     rates[c, j]: how often voter j fires in class c.  voices[j]: the share of a
-    voice that j has, one over one plus its correlations within the classes."""
+    voice that j has, one over one plus its correlations within the classes.
+    labels: 0 or 1 for each row, a voter that is right in the share LABELS of its votes.
+    silence: whether a voter that does not fire votes by that, or abstains."""
     n, m = votes.shape
     voices = np.ones(m)
     share = votes.mean(axis=0) if n else np.zeros(m)
     rates = np.stack([np.clip(share * 0.2, 1e-4, 0.5), np.clip(share * 3 + 0.01, 1e-3, 0.9)])
+    rates[:, m - neutral :] = np.clip(share[m - neutral :], 1e-4, 1 - 1e-4)
+    said = np.zeros(n) if labels is None else (2 * labels - 1) * math.log(LABELS / (1 - LABELS))
     post = np.full(n, prior)
     for turn in range(2):
         for _ in range(rounds):
-            on, off = np.log(rates), np.log(1 - rates)
-            ratio = (on[1] - on[0]) * voices
-            none = (off[1] - off[0]) * voices
-            post = sigmoid(votes @ (ratio - none) + none.sum() + math.log(prior / (1 - prior)))
+            ratio = np.log(rates[1] / rates[0]) * voices
+            quiet = np.log((1 - rates[1]) / (1 - rates[0])) * voices * silence
+            post = sigmoid(votes @ (ratio - quiet) + quiet.sum() + math.log(prior / (1 - prior)) + said)
             w = np.stack([1 - post, post])
             rates = np.clip((w @ votes + np.array([[0.05], [0.5]])) / (w.sum(axis=1, keepdims=True) + 1), 1e-5, 1 - 1e-5)
         if turn == 0 and n > 1:
@@ -144,16 +163,16 @@ def features(counts: np.ndarray, lexicon: int) -> np.ndarray:
 
 
 def train(texts: list, y: np.ndarray) -> Model:
-    texts = [t or "" for t in texts]
-    model = Model(find_lexicon(texts, y))
+    texts, y = [t or "" for t in texts], np.asarray(y, dtype=float)
+    fixed = [(w, True) for w in LEXICON]
+    model = Model(fixed + [v for v in find_lexicon(texts[::2], y[::2]) if v not in fixed])
     vote = Votes(model.lexicon)
     counts = np.array([vote(t) for t in texts]).reshape(len(texts), vote.n + len(PATTERNS))
     prior = float(np.clip(np.mean(y), 0.01, 0.99)) if len(y) else 0.1
-    post, model.accuracies, model.voices = label_model((counts > 0).astype(float), prior)
-    x = features(counts, vote.n)
-    model.weights = logistic(x, post, 2.0)
-    raw = x @ model.weights[:-1] + model.weights[-1]
-    model.scale = logistic(np.clip(raw, -8, 8)[:, None], y, 0.1)
+    post, model.accuracies, model.voices = label_model((counts > 0).astype(float), prior, len(PATTERNS), y, silence=False)
+    model.weights = logistic(features(counts, vote.n), post, 2.0)
+    if not len(texts):
+        model.weights[-1] = math.log(prior / (1 - prior))
     return model
 
 
@@ -168,7 +187,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column("text").to_pylist()
             counts = np.array([vote(t) for t in texts]).reshape(len(texts), vote.n + len(PATTERNS))
             x = features(counts, vote.n)
-            raw = np.clip(x @ model.weights[:-1] + model.weights[-1], -8, 8)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(predict(raw[:, None], model.scale))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(predict(x, model.weights))], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id bigint, score double")

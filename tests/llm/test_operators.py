@@ -318,6 +318,17 @@ def test_label_model_finds_rates_and_copies():
     assert np.isclose(voices[0], voices[4]) and voices[0] < 0.6 and min(voices[1:4]) > 1.5 * voices[0]
 
 
+def test_label_model_weighs_voters_against_labels():
+    """A voter that fires at random gets no weight, one that a second repeats shares its voice, whatever their first guess."""
+    rng = np.random.default_rng(2)
+    y = rng.random(5000) < 0.2
+    good = np.where(y, rng.random(5000) < 0.5, rng.random(5000) < 0.02)
+    votes = np.column_stack([good, rng.random(5000) < 0.1, np.where(y, rng.random(5000) < 0.6, rng.random(5000) < 0.05)]).astype(float)
+    post, rates, _ = toxicity.label_model(votes, 0.2, 1, y.astype(float))
+    assert np.mean((post > 0.5) == y) > 0.97
+    assert np.allclose(rates[:, 0], [0.02, 0.5], atol=0.05) and np.allclose(rates[0, 1], rates[1, 1], atol=0.04) and np.allclose(rates[:, 2], [0.05, 0.6], atol=0.05)
+
+
 def test_training_samples(spark):
     df = docs(spark, ["a", "b", None, "d"])
     labels = spark.createDataFrame([(0, 1, 5), (0, 0, 5), (1, None, 5), (2, 1, 5), (None, 1, 5), (3, 0, 5), (9, 1, 5)], "doc_id bigint, toxic int, text int")
@@ -326,7 +337,8 @@ def test_training_samples(spark):
     assert len(labelled.sample(df, labels, "toxic", F.lit(True), 2)) <= 2
     empty = labelled.sample(df, labels.where("false"), "toxic", F.lit(True), 2)
     assert quality.score_texts(["x", ""], quality.train([], np.array([]))).tolist() and len(empty) == 0
-    assert toxicity.train([], np.array([])).lexicon == []
+    nothing = toxicity.train([], np.array([]))
+    assert [r.score for r in toxicity.score(df, nothing).collect()] == pytest.approx([0.1] * 4)
 
 
 # --- language identification
