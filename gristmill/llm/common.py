@@ -42,6 +42,12 @@ BATCH_BYTES = 1 << 22
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session sends Arrow batches of BATCH_BYTES at most: by default 64 MB, which two tasks and
+    their workers hold several times. For applications; operators leave the session as it is."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """What store() writes inside goes to one folder, which is removed at the end; only lasting tables stay.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, labelled, language_id, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
-from .common import in_fold, table
+from .common import bounded_batches, in_fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,8 +65,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def bounded(query):
+    """The query, in a session with small Arrow batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
-    f.__name__: f
+    f.__name__: bounded(f)
     for f in (
         op1_ngram_join,
         op2_secret_scan,

@@ -15,7 +15,7 @@ distance.  Passages of at least `least` words in both, of which the share
 Different seeds may choose different partners, so a second round works on what
 the first left open: text whose seeds other classes share, but that lies in no
 passage found.  There all runs of `least` words are linked, each with the first class
-that has it whole, and all pairs of shared seeds up to NEIGHBOURS places apart, each
+that has it whole, and all pairs of shared seeds from NEAR to FAR words apart, each
 with the first class that has both.  So every exact run of `least` words that another
 class has is found, and a fuzzy passage wherever a pair of its seeds, which may
 stand on two sides of an edit, tells its partner from other documents.
@@ -57,12 +57,14 @@ GAP, PRICE = 64, 0.05
 #: Regions of one class that go to it together, and regions that are broadcast (24 bytes each); more are joined by a shuffle.
 ASKED, BROADCAST_ASKS = 256, 500_000
 #: Classes that are broadcast to be read again, with their shared places (4 bytes each) and covered ranges; more are joined by a shuffle.
-BROADCAST_PLACES = 2_000_000
+BROADCAST_PLACES = 1_000_000
 HELD = 1_000_000
 #: Occurrences of one seed, pair or run in a batch above which they are linked there.
 COMMON = 32
-#: Shared seeds between which pairs are made.
-NEIGHBOURS = 4
+#: Words from one seed to the other of a pair, at least and at most.
+NEAR, FAR = 14, 34
+#: Classes whose keys are broadcast to pick their texts out before they are shuffled.
+BROADCAST_KEYS = 500_000
 
 SEED = np.dtype([("hash", "<u8"), ("cid", "<i8"), ("place", "<u4")])
 #: Two seeds of a class, at place and far; open: in no passage found.
@@ -98,7 +100,11 @@ def minimisers(h: np.ndarray, k: int = K, w: int = W) -> tuple[np.ndarray, np.nd
     if len(g) <= w:
         at = np.array([int(np.argmin(g))])
         return at, g[at]
-    view = np.lib.stride_tricks.sliding_window_view(g, w)
+    # of equal neighbours (a word said over and over) every w-th comes first, so that few are chosen
+    new = np.append(True, g[1:] != g[:-1])
+    place = np.arange(len(g))
+    later = (place - np.maximum.accumulate(np.where(new, place, 0))) % w != 0
+    view = np.lib.stride_tricks.sliding_window_view((g & ~np.uint64(1)) | later.astype(np.uint64), w)
     at = np.unique(np.arange(len(view)) + view.argmin(axis=1))
     return at, g[at]
 
@@ -183,6 +189,8 @@ def write_pass(texts: DataFrame, run, tag: str) -> dict[int, DataFrame]:
 def cut_items(held: list, shift, with_before: bool, links):
     """The record batches of the items in held; links(x, y): the table of the links made on the spot."""
     p, x, y = combine(np.concatenate(held), with_before)
+    if not len(p):
+        return
     yield blobs_of((p["hash"] >> shift).astype(np.int64), p)
     if len(x):
         yield links_of(links(x, y))
@@ -249,19 +257,31 @@ def open_runs(h: np.ndarray, at: np.ndarray, shared: np.ndarray, starts: np.ndar
 
 
 def seed_pairs(at: np.ndarray, g: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    """PAIR items, without cid, of the shared seeds g at places at."""
-    out = []
-    for d in range(1, NEIGHBOURS + 1):
-        a, b = np.arange(max(0, len(at) - d)), np.arange(d, len(at)) if len(at) > d else np.arange(0)
-        near = at[b] - at[a] <= GAP + k
-        a, b = a[near], b[near]
-        p = np.empty(len(a), dtype=PAIR)
-        with np.errstate(over="ignore"):
-            p["hash"] = mix(g[a] * WEIGHT[0] + g[b] * WEIGHT[1])
-        p["place"], p["far"] = at[a], at[b]
-        p["open"] = ~covered(starts, ends, at[a], at[b] + k)
-        out.append(p)
-    return np.concatenate(out)
+    """PAIR items, without cid, of the shared seeds g at places at. Of a word or two said over and over, the first seeds count."""
+    again = np.zeros(len(g), dtype=bool)
+    for d in (1, 2):
+        again[d:] |= g[d:] == g[:-d]
+    at, g = at[~again], g[~again]
+    low, high = np.searchsorted(at, at + NEAR), np.searchsorted(at, at + FAR, side="right")
+    n = high - low
+    a = np.repeat(np.arange(len(at)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    p = np.empty(len(a), dtype=PAIR)
+    with np.errstate(over="ignore"):
+        p["hash"] = mix(g[a] * WEIGHT[0] + g[b] * WEIGHT[1])
+    p["place"], p["far"] = at[a], at[b]
+    p["open"] = ~covered(starts, ends, at[a], at[b] + k)
+    return p
+
+
+def with_texts(docs: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
+    """wanted (key, ...) joined to the texts of its keys; if it is not small enough to be broadcast, its keys may be."""
+    if small:
+        return docs.join(F.broadcast(wanted), "key")
+    keys = wanted.select("key").distinct()
+    if keys.count() <= BROADCAST_KEYS:
+        docs = docs.join(F.broadcast(keys), "key", "left_semi")
+    return docs.join(wanted, "key")
 
 
 def second_links(docs: DataFrame, classes: DataFrame, links: DataFrame, found: DataFrame, buckets: int, k: int, w: int, length: int) -> DataFrame:
@@ -272,7 +292,7 @@ def second_links(docs: DataFrame, classes: DataFrame, links: DataFrame, found: D
     ranges = found.groupBy("cid", "start").agg(F.max("end").alias("end")).groupBy("cid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     wanted = store(places.join(ranges, "cid", "left").join(classes.select("cid", "key"), "cid"), "substring-open")
     size = wanted.agg(F.sum(F.size("places") + 2 * F.coalesce(F.size("starts"), F.lit(0)) + 8)).first()[0] or 0
-    texts = docs.join(F.broadcast(wanted) if size <= BROADCAST_PLACES else wanted, "key").select("text", "cid", "places", "starts", "ends")
+    texts = with_texts(docs, wanted, size <= BROADCAST_PLACES).select("text", "cid", "places", "starts", "ends")
 
     def arrays(column, i) -> np.ndarray:
         value = column[i].values
@@ -419,12 +439,14 @@ def meet(key, blobs, k: int):
 
 
 def linked_pairs(x: np.ndarray, y: np.ndarray, k: int) -> pa.Table:
-    """Both seeds of each pair that is open in one class at least."""
+    """Both seeds of each pair that is open in one class at least, once each."""
     free = (x["open"] | y["open"]).astype(bool)
     x, y = x[free], y[free]
-    first, second = linked(x, y, k), linked(x, y, k)
-    second = second.set_column(2, "px", pa.array(x["far"].astype(np.int32))).set_column(3, "py", pa.array(y["far"].astype(np.int32)))
-    return pa.concat_tables([first, second])
+    both = np.empty(2 * len(x), dtype=[("x", "<i8"), ("y", "<i8"), ("px", "<i4"), ("py", "<i4")])
+    for part, place in ((both[: len(x)], "place"), (both[len(x) :], "far")):
+        part["x"], part["y"], part["px"], part["py"] = x["cid"], y["cid"], x[place], y[place]
+    both = np.unique(both)
+    return pa.table({c: both[c].copy() for c in both.dtype.names} | {"n": np.full(len(both), k, dtype=np.int32)})
 
 
 def meet_pairs(key, blobs, k: int):
@@ -645,8 +667,7 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
     asks = asks.join(many, "cid", "left").withColumn("salt", F.pmod("no", F.ceil(F.coalesce("count", F.lit(1)) / ASKED)))
     asks = asks.groupBy("cid", "salt").agg(F.collect_list(F.struct("no", "side", "a", "b")).alias("asks"))
     asks = store(asks.join(classes, "cid").select("key", "cid", "asks"), "substring-asks")
-    few = 2 * found.count() <= BROADCAST_ASKS
-    texts = docs.join(F.broadcast(asks) if few else asks, "key").select("text", "cid", "asks")
+    texts = with_texts(docs, asks, 2 * found.count() <= BROADCAST_ASKS).select("text", "cid", "asks")
 
     def slices(batches):
         for batch in small_batches(batches):
