@@ -5,16 +5,20 @@ Each one stays inside whole-stage code generation; a null gives a null.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..kernel.candidates import INVISIBLE, NESTING, RAW_BYTES
+from ..kernel.names import LIGATURES
 from ..kernel.repair import SMART
 
 #: Numbers as text: digits with an optional point and exponent.
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 INTEGER = r"^[+-]?[0-9]+$"
-ANY_NUMBER = r"(?U)[-+]?\$?(?:\d+(?:,\d+)*(?:\.\d+)?|\d+\.\d+|\d+|\.\d+)(?:e[-+]?\d+)?%?"
+#: A sign, a dollar sign, digits in groups or not, or a bare decimal part; an exponent; a percent sign.
+ANY_NUMBER = r"(?U)[+-]?\$?(?:\d+(?:,\d+)*(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?%?"
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
@@ -22,6 +26,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def trimmed(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def strip_invisible(c: Column | str) -> Column:
     """Without zero-width and direction characters."""
     return F.translate(col(c), INVISIBLE, "")
@@ -66,7 +75,7 @@ def is_json(c: Column | str) -> Column:
 def is_clean(c: Column | str) -> Column:
     """Whether the only reading of a text is itself: one strict JSON object or array, not nested deeply."""
     c = strip_invisible(c)
-    return F.trim(c).rlike(r"^[{\[]") & (openers(c) <= NESTING) & is_json(c)
+    return c.rlike(r"(?U)^[\s\x1c-\x1f]*[{\[]") & (openers(c) <= NESTING) & is_json(c)
 
 
 def raw_bool(c: Column | str) -> Column:
@@ -77,7 +86,7 @@ def raw_bool(c: Column | str) -> Column:
 
 
 def raw_number(c: Column | str) -> Column:
-    bare = F.regexp_replace(F.trim(col(c)), ",+$", "")
+    bare = F.regexp_replace(trimmed(c), ",+$", "")
     no_commas = F.replace(bare, F.lit(","), F.lit(""))
     return F.when(bare.rlike(FLOAT), bare.try_cast("double")).when(no_commas.rlike(FLOAT), no_commas.try_cast("double"))
 
@@ -85,14 +94,14 @@ def raw_number(c: Column | str) -> Column:
 def raw_kind(c: Column | str) -> Column:
     """bool, number or string: what a text without JSON is read as first; null if it may hold JSON."""
     c = col(c)
-    bare = F.trim(c)
+    bare = trimmed(c)
     skipped = bare.rlike(r"[{\[]") | (F.octet_length(bare) > RAW_BYTES) | (bare.startswith('"') & is_json(bare))
     return F.when(skipped, None).when(raw_bool(c).isNotNull(), "bool").when(raw_number(c).isNotNull(), "number").otherwise("string")
 
 
 def fraction(c: Column | str) -> Column:
     parts = F.split(col(c), "/", 2)
-    top, low = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+    top, low = trimmed(F.get(parts, F.lit(0))), trimmed(F.get(parts, F.lit(1)))
     both = top.rlike(FLOAT) & low.rlike(FLOAT)
     return F.when(both, F.try_divide(top.try_cast("double"), low.try_cast("double")))
 
@@ -115,7 +124,7 @@ def half_away(c: Column) -> Column:
 def to_double(c: Column | str, mode: str = "fuzzy") -> Column:
     """Text as a number: fuzzy trims and knows fractions."""
     c = col(c)
-    bare = F.regexp_replace(F.trim(c), ",+$", "") if mode == "fuzzy" else c
+    bare = F.regexp_replace(trimmed(c), ",+$", "") if mode == "fuzzy" else c
     ways = [F.when(bare.rlike(FLOAT), bare.try_cast("double"))]
     ways += [fraction(bare)] if mode == "fuzzy" else []
     return F.coalesce(*ways, only_number(bare))
@@ -124,7 +133,7 @@ def to_double(c: Column | str, mode: str = "fuzzy") -> Column:
 def to_bigint(c: Column | str, mode: str = "fuzzy") -> Column:
     """Text as an integer: exact if it is one, else rounded."""
     c = col(c)
-    bare = F.regexp_replace(F.trim(c), ",+$", "") if mode == "fuzzy" else c
+    bare = F.regexp_replace(trimmed(c), ",+$", "") if mode == "fuzzy" else c
     whole = F.when(bare.rlike(INTEGER), bare.try_cast("bigint"))
     return F.coalesce(whole, half_away(to_double(c, mode)) if mode == "fuzzy" else half_away(only_number(c)))
 
@@ -156,12 +165,45 @@ def bare(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"[^\p{L}\p{N}_-]", "")
 
 
+@cache
+def accents() -> tuple[str, str]:
+    """(letters, their bare forms) of the basic plane, as the kernel takes accents off; letters beyond the forms are marks, which go."""
+    from unicodedata import combining
+
+    from ..kernel.names import unaccented as plain
+
+    single, bare_ones, marks = [], [], []
+    for code in range(0x80, 0x10000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue  # surrogates, and syllables that no variant is written in
+        own = plain(c)
+        if combining(c) or not own:
+            marks.append(c)
+        elif len(own) == 1 and own != c:
+            single.append(c)
+            bare_ones.append(own)
+    return "".join(single + marks), "".join(bare_ones)
+
+
+def unaccented(c: Column | str) -> Column:
+    """Letters without their accents; ligatures are taken apart."""
+    letters, bare_ones = accents()
+    c = col(c)
+    plain = c
+    for one, more in LIGATURES.items():
+        plain = F.replace(plain, F.lit(one), F.lit(more))
+    plain = F.translate(plain, letters, bare_ones)
+    return F.when(c.rlike(r"[^\x00-\x7f]"), plain).otherwise(c)
+
+
 def enum_match(c: Column | str, variants: list[str | tuple[str, str]]) -> Column:
-    """The variant that a text means: exact, bare, in any case, inside, around, or near by edits."""
-    c = F.trim(col(c))
+    """The variant that a text means: exact, without accents, bare, in any case, inside, around, or near by edits."""
+    c = trimmed(c)
     strings = [(s, n) for v in variants for n, about in [(v, None) if isinstance(v, str) else v] for s in ([n] if about is None else [n, about, f"{n}: {about}"])]
     low = F.lower(bare(c))
     from ..kernel.names import bare as plain
+    from ..kernel.names import unaccented as unaccented_text
 
     lows = [(plain(s).lower(), n) for s, n in strings]
     chain = lambda mine, own: F.coalesce(*(F.when(mine == s, n) for s, n in own))
@@ -172,7 +214,8 @@ def enum_match(c: Column | str, variants: list[str | tuple[str, str]]) -> Column
     edits = [F.struct(F.levenshtein(low, F.lit(s)).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (s, n) in enumerate(lows)]
     nearest = F.array_min(F.array(*edits))
     near = F.when(nearest["d"] <= F.floor(F.octet_length(low) / 3), nearest["n"])
-    return F.coalesce(chain(c, strings), chain(bare(c), [(plain(s), n) for s, n in strings]), chain(low, lows), inside, around, near)
+    folded = chain(unaccented(c), [(unaccented_text(s), n) for s, n in strings])
+    return F.coalesce(chain(c, strings), folded, chain(bare(c), [(plain(s), n) for s, n in strings]), chain(low, lows), inside, around, near)
 
 
 def fence_blocks(c: Column | str) -> Column:

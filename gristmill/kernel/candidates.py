@@ -138,6 +138,7 @@ def direct_json(text: str) -> list[Candidate]:
         return []
 
 
+# Fixed value: a fenced block.
 FENCE = re.compile(r"```(\w*)\n(.*?)```", re.S)
 JSON_TAGS = {"json", "jsonc", "json5"}
 # Words before a block and what they are worth.
@@ -243,7 +244,9 @@ def yaml_text(text: str) -> list[Candidate]:
     if not looks_like_yaml(text):
         return []
     if _load is None:
-        _load = _yaml_loader() or (lambda text: None)
+        _load = _yaml_loader()
+        if _load is None:
+            raise ModuleNotFoundError("texts that look like YAML need PyYAML; yaml=False leaves that reading out")
     try:
         value = _load(text)
     except Exception:
@@ -373,6 +376,11 @@ def clean(text: str) -> str:
     return spaces(multiple_commas(double_escaped(text) or text))
 
 
+#: A cleaner makes a piece readable, an extractor finds pieces: (function, priority), the least first.
+Cleaner = Callable[[str], str]
+Extractor = Callable[[str], list[Candidate]]
+
+
 def extract(text: str) -> list[Candidate]:
     """Pieces of text that may hold JSON; value is the piece."""
     found = [Candidate(text, "Direct")] if text.strip() else []
@@ -380,8 +388,10 @@ def extract(text: str) -> list[Candidate]:
     return found + [Candidate(m[2], "Markdown", lang=m[1] or None) for m in FENCE.finditer(text) if m[2].strip()]
 
 
-def parse_or_repair(piece: Candidate) -> list[Candidate]:
-    text = clean(piece.value)
+def parse_or_repair(piece: Candidate, cleaners: Iterable[Cleaner] = (clean,)) -> list[Candidate]:
+    text = piece.value
+    for one in cleaners:
+        text = one(text)
     try:
         return [Candidate(jsontext.read(text), piece.source, lang=piece.lang, pattern=piece.pattern)]
     except ValueError:
@@ -402,10 +412,16 @@ def normalise(c: Candidate) -> Candidate:
     return c
 
 
-def parse(text: str, strategies: Iterable[str | tuple[Strategy, int]] | None = None) -> list[Candidate]:
-    """All readings of a text, in the order found."""
+def parse(
+    text: str, strategies: Iterable[str | tuple[Strategy, int]] | None = None, cleaners: Iterable[Cleaner] | None = None,
+    extractors: Iterable[tuple[Extractor, int]] | None = None, yaml: bool = True,
+) -> list[Candidate]:
+    """All readings of a text, in the order found.
+
+    Where no strategy finds anything, extractors find pieces of the text, and cleaners, one after the
+    other, make them readable: by default extract() and clean().  yaml: whether YAML is a reading."""
     text = preclean(text)
-    chosen = [STRATEGIES[s] if isinstance(s, str) else s for s in (STRATEGIES if strategies is None else strategies)]
+    chosen = [STRATEGIES[s] if isinstance(s, str) else s for s in (STRATEGIES if strategies is None else strategies) if yaml or s != "yaml"]
     found: list[Candidate] = []
     for strategy, _ in sorted(chosen, key=lambda s: s[1]):
         own = strategy(text)
@@ -414,7 +430,9 @@ def parse(text: str, strategies: Iterable[str | tuple[Strategy, int]] | None = N
             return [normalise(c) for c in found]
     if found:
         return found
-    return [c for piece in extract(text) for c in parse_or_repair(piece)]
+    by_priority = sorted([(extract, 0)] if extractors is None else extractors, key=lambda e: e[1])
+    pieces = (piece for find, _ in by_priority for piece in find(text))
+    return [c for piece in pieces for c in parse_or_repair(piece, (clean,) if cleaners is None else cleaners)]
 
 
 # --- ranking

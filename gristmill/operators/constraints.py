@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +17,15 @@ FAILED = {ASSERT: 100, CHECK: 10}
 class Constraint:
     level: str
     name: str
-    predicate: Column
+    predicate: Column | Callable[[Column], Column]  # of the parsed value, where it is checked within a parse
     description: str = ""
 
     @classmethod
-    def hard(cls, name: str, predicate: Column, description: str = "") -> Constraint:
+    def hard(cls, name: str, predicate: Column | Callable[[Column], Column], description: str = "") -> Constraint:
         return cls(ASSERT, name, predicate, description)
 
     @classmethod
-    def soft(cls, name: str, predicate: Column, description: str = "") -> Constraint:
+    def soft(cls, name: str, predicate: Column | Callable[[Column], Column], description: str = "") -> Constraint:
         return cls(CHECK, name, predicate, description)
 
     @property
@@ -35,6 +36,10 @@ class Constraint:
     def is_check(self) -> bool:
         return self.level == CHECK
 
+    def on(self, value: Column) -> Constraint:
+        """The constraint with its predicate applied to value."""
+        return replace(self, predicate=self.predicate(value)) if callable(self.predicate) and not isinstance(self.predicate, Column) else self
+
     def result(self) -> Column:
         """STRUCT<name, description, level, passed>; a null predicate has not passed."""
         passed = F.coalesce(self.predicate, F.lit(False))

@@ -1,13 +1,15 @@
 """Messy text columns into typed columns.
 
-Clean rows of flat numeric schemas never reach Python: from_json reads them,
-and the kernel gets a null in their place.  All other rows go to the kernel in
-Arrow batches.  Nothing shuffles.
+Clean rows of flat schemas of numbers, booleans and strings never reach Python:
+from_json reads them, column functions make numbers of their texts, and the
+kernel gets a null in their place.  All other rows go to the kernel in Arrow
+batches.  Nothing shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,19 +18,22 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .. import schema as S
-from ..functions.text import STRICT, col, is_clean, strip_invisible
+from ..functions.text import STRICT, col, double_to_bigint, is_clean, openers, strip_invisible, to_bigint, to_bool, to_double
 from ..kernel import candidates as C
 from ..kernel import jsontext
 from ..kernel.coerce import from_text
+from .constraints import ASSERT, CHECK, FAILED, Constraint, results
 
 NOTE = T.StructType().add("type", T.StringType()).add("penalty", T.IntegerType()).add("payload", T.StringType())
 CANDIDATE = (
     T.StructType().add("value", T.StringType()).add("source", T.StringType()).add("lang", T.StringType()).add("fixes", T.ArrayType(T.StringType())).add("index", T.IntegerType())
     .add("pattern", T.StringType()).add("confidence", T.FloatType()).add("score", T.IntegerType()).add("transformations", T.ArrayType(NOTE)).add("max_depth", T.IntegerType())
 )
-ERROR = T.StructType().add("code", T.StringType()).add("message", T.StringType())
-#: Scalar types that from_json reads exactly as the kernel does.
-PLAIN = (T.LongType, T.BooleanType)
+ERROR = T.StructType().add("code", T.StringType()).add("message", T.StringType()).add("path", T.StringType())
+#: Scalar types that column functions read exactly as the kernel does.
+PLAIN = (T.LongType, T.BooleanType, T.DoubleType, T.StringType)
+#: Integers up to here are read by column functions; larger ones are left to the kernel.
+EXACT = 9e18
 
 
 def candidate_row(c: C.Candidate) -> dict:
@@ -60,11 +65,15 @@ def _nullable(kind: T.DataType) -> T.DataType:
     return kind
 
 
-def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False, provenance: bool = True):
+def parser(
+    schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False, provenance: bool = True,
+    coercers: Iterable[S.Coercer] = (), substrings: bool = False, cleaners: Iterable | None = None, extractors: Iterable | None = None, yaml: bool = True,
+):
     """The Arrow function of one text column behind from_messy_json(); without
     provenance the winner is not written out."""
     schema = S.parse(schema)
-    shape = S.of(schema)
+    shape = S.of(schema, None, tuple(coercers), substrings)
+    reading = {"cleaners": cleaners and list(cleaners), "extractors": extractors and list(extractors), "yaml": yaml}
     out = result_type(schema, with_candidates, provenance)
     chosen = None if strategies is None else list(strategies)
 
@@ -75,8 +84,8 @@ def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable |
             if one is None:
                 rows.append(None)
                 continue
-            value, winner, ranked, error = from_text(one, shape, mode, chosen, full_provenance)
-            row = {"value": value, "error": error and {"code": error.code, "message": str(error)}}
+            value, winner, ranked, error = from_text(one, shape, mode, chosen, full_provenance, **reading)
+            row = {"value": value, "error": error and {"code": error.code, "message": str(error), "path": error.scope}}
             if provenance:
                 row["winner"] = winner and candidate_row(winner)
             if with_candidates:
@@ -88,40 +97,106 @@ def parser(schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable |
     return run.asNondeterministic()
 
 
-def from_messy_json(text: Column | str, schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False) -> Column:
-    """STRUCT<value, error, winner[, candidates]>: text coerced to schema.
+def from_messy_json(text: Column | str, schema: T.DataType | str, mode: str = "fuzzy", strategies: Iterable | None = None, with_candidates: bool = False, full_provenance: bool = False, constraints: Iterable[Constraint] = (), **options) -> Column:
+    """STRUCT<value, error, winner[, candidates][, constraints]>: text coerced to schema.
 
     mode `basic` takes exact field names, `fuzzy` near ones; strategies are names
     or (function, priority) pairs.  Exactly one of value and error is null, but
-    for a null text, which gives a null."""
-    return parser(schema, mode, strategies, with_candidates, full_provenance)(col(text))
+    for a null text, which gives a null.  An error tells its code, message and path from <root>.
 
+    Further options: coercers (schema.Coercer, for fields with that name as metadata `coerce`), substrings
+    (whether a key inside a field's name, or around it, may serve), cleaners and extractors (in the place of
+    the usual ones where no strategy finds anything), yaml (False leaves that reading out).
 
-def is_plain(schema: T.DataType) -> bool:
-    return isinstance(schema, T.StructType) and all(type(f.dataType) in PLAIN and not f.metadata for f in schema.fields)
+    constraints are checked on value, each predicate a function of it: the results are listed, and each is a
+    transformation of the winner, whose confidence and score it changes."""
+    found = parser(schema, mode, strategies, with_candidates, full_provenance, **options)(col(text))
+    constraints = list(constraints)
+    return F.get(F.transform(F.array(found), lambda m: checked(m, constraints)), F.lit(0)) if constraints else found
 
 
-def parse_column(df: DataFrame, text: str, schema: T.DataType | str, out: str = "parsed", mode: str = "fuzzy", fast: bool = True, **options) -> DataFrame:
-    """df with the typed value as `out` and the error as `out`_error.
+def checked(parsed: Column, constraints: list[Constraint]) -> Column:
+    """The struct of from_messy_json() with the results of constraints on its value, and a note of each at the winner."""
+    from .ranking import decayed, score
 
-    With fast, rows that are clean JSON and hold every field in its own type are
-    read by from_json, and the kernel sees nulls instead of them."""
-    schema = S.parse(schema)
-    if not fast or not is_plain(schema):
-        parsed = df.withColumn("_messy", parser(schema, mode, provenance=False, **options)(F.col(text)))
-        return parsed.withColumn(out, F.col("_messy.value")).withColumn(f"{out}_error", F.col("_messy.error")).drop("_messy")
-    clean = F.when(is_clean(text), strip_invisible(text))
-    names = [f.name for f in schema.fields]
-    native = F.from_json(clean, _nullable(schema).simpleString(), STRICT)
-    typed = df.withColumn("_native", native)
-    whole = F.col("_native").isNotNull()
+    of = results([c.on(parsed["value"]) for c in constraints])
+    of = F.when(parsed["value"].isNotNull(), of)
+    cost = lambda r: F.when(r["passed"], 0).when(r["level"] == ASSERT, FAILED[ASSERT]).otherwise(FAILED[CHECK])
+    payload = lambda r: F.to_json(F.struct((r["level"] == ASSERT).alias("is_assert"), r["name"].alias("name"), r["passed"].alias("passed")))
+    notes = F.transform(of, lambda r: F.struct(F.lit("constraint_checked").alias("type"), cost(r).alias("penalty"), payload(r).alias("payload")))
+    won = parsed["winner"]
+    confidence = (won["confidence"] * decayed(F.lit(len(constraints)))).cast("float")
+    won = won.withField("transformations", F.concat(won["transformations"], notes)).withField("confidence", confidence)
+    won = won.withField("score", score(won))
+    kept = parsed.withField("winner", F.when(parsed["value"].isNotNull(), won).otherwise(parsed["winner"]))
+    return F.when(parsed.isNotNull(), kept.withField("constraints", of))
+
+
+def is_plain(schema: T.DataType) -> bool:
+    return isinstance(schema, T.StructType) and len(schema) > 0 and all(type(f.dataType) in PLAIN and not f.metadata and not set('"\\') & set(f.name) for f in schema.fields)
+
+
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with signs added until df has no such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
     for name in names:
-        whole &= F.col("_native").getField(name).isNotNull()
-    typed = typed.withColumn("_native", F.when(whole, F.col("_native")))
-    masked = F.when(F.col("_native").isNull(), F.col(text))
-    typed = typed.withColumn("_messy", parser(schema, mode, provenance=False, **options)(masked))
-    value = F.coalesce("_native", F.col("_messy.value"))
-    return typed.withColumn(out, value).withColumn(f"{out}_error", F.col("_messy.error")).drop("_native", "_messy")
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def _plain_fields(clean: Column, typed: Column, raw: Column, schema: T.StructType, mode: str) -> list[Column]:
+    """The fields of a clean text of one flat object, each null where the kernel is to read it.
+
+    clean: the text; typed: read by from_json in the fields' own types; raw: as strings.  A field must be in
+    the text once; whether its value is a string shows after its name."""
+    out = []
+    for f in schema.fields:
+        key = rf'(?<!\\)"\Q{f.name}\E"\s*:'
+        quoted, text, own = clean.rlike(key + r'\s*"'), strip_invisible(raw.getField(f.name)), typed.getField(f.name)
+        if isinstance(f.dataType, T.StringType):
+            value = F.when(quoted, text)
+        elif isinstance(f.dataType, T.BooleanType):
+            value = F.when(quoted, to_bool(text, mode)).otherwise(own)
+        elif isinstance(f.dataType, T.DoubleType):
+            value = F.when(quoted, to_double(text, mode)).otherwise(own)
+            value = F.when(F.abs(value) < float("inf"), value)
+        else:
+            value = F.when(quoted, to_bigint(text, mode)).otherwise(F.coalesce(own, double_to_bigint(text.try_cast("double"), mode)))
+            value = F.when(F.abs(value.cast("double")) < EXACT, value)
+        out.append(F.when(F.regexp_count(clean, F.lit(key)) == 1, value).alias(f.name))
+    return out
+
+
+def parse_column(df: DataFrame, text: str, schema: T.DataType | str, out: str = "parsed", mode: str = "fuzzy", fast: bool = True, constraints: Iterable[Constraint] = (), **options) -> DataFrame:
+    """df with the typed value as `out`, the error as `out`_error and, for constraints on the value, their results as `out`_constraints.
+
+    With fast, rows that are clean JSON and hold every field in its own type, or as a text of it, are
+    read by column functions, and the kernel sees nulls instead of them."""
+    schema, constraints = S.parse(schema), list(constraints)
+    messy, clean, plain = _fresh(df, "_messy", "_clean", "_plain")
+    kernel = parser(schema, mode, provenance=False, **options)
+    if not fast or not is_plain(schema) or options:
+        parsed = df.withColumn(messy, kernel(F.col(text)))
+        parsed = parsed.withColumn(out, F.col(messy)["value"])
+    else:
+        kinds = _nullable(schema)
+        strings = T.StructType([T.StructField(f.name, T.StringType()) for f in kinds])
+        flat = is_clean(text) & (openers(text) == 1) & (F.octet_length(text) <= C.LARGEST)
+        parsed = df.withColumn(clean, F.when(flat, strip_invisible(text)))
+        typed, raw = (F.from_json(clean, kind, STRICT) for kind in (kinds, strings))
+        parsed = parsed.withColumn(plain, F.struct(*_plain_fields(F.col(clean), typed, raw, kinds, mode)))
+        whole = reduce(Column.__and__, (F.col(plain).getField(f.name).isNotNull() for f in kinds))
+        parsed = parsed.withColumn(plain, F.when(whole, F.col(plain)))
+        masked = F.when(F.col(plain).isNull(), F.col(text))
+        parsed = parsed.withColumn(messy, kernel(masked))
+        parsed = parsed.withColumn(out, F.coalesce(plain, F.col(messy)["value"]))
+    parsed = parsed.withColumn(f"{out}_error", F.col(messy)["error"]).drop(messy, clean, plain)
+    if constraints:
+        of = results([c.on(F.col(out)) for c in constraints])
+        parsed = parsed.withColumn(f"{out}_constraints", F.when(F.col(out).isNotNull(), of))
+    return parsed
 
 
 def parse_candidates(text: Column | str, strategies: Iterable | None = None, ranked: bool = False) -> Column:

@@ -318,3 +318,146 @@ def errors_as_columns(spark, sf_dir):
     text = F.when(F.col("p_partkey") % 2 == 0, fmt('{{"id": {}, "name": "{}"}}', *P_COLUMNS)).otherwise(fmt("nothing in {}", "p_name"))
     df = parse_column(load(spark, sf_dir, "part").select(text.alias("messy")), "messy", ID_NAME)
     return df.select("parsed.id", "parsed.name", F.col("parsed_error").isNotNull().alias("failed"))
+
+
+# --- the reading that wins, told with what was read
+
+
+def winner(df: DataFrame, messy: Column, schema: T.DataType = ID_NAME, mode: str = "basic", **options) -> DataFrame:
+    """id, name, and the source and repairs of the winning candidate."""
+    df = df.select(from_messy_json(messy, schema, mode, **options).alias("m"))
+    return df.select("m.value.*", "m.winner.source", F.array_join("m.winner.fixes", ",").alias("fixes"))
+
+
+def _won(name: str, table: str, pattern: str, columns: tuple[str, str], sql: str, source: str, fixes: str = "", mode: str = "basic", **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return winner(load(spark, sf_dir, table), fmt(pattern, *columns), mode=mode, **options)
+
+    QUERIES[name], SQL[name] = run, f"SELECT *, '{source}' AS source, '{fixes}' AS fixes FROM ({sql})"
+
+
+# a repair wins where no other strategy reads the text, or where only it is asked for
+_won("won_unclosed", "supplier", '{{"id": {}, "name": "{}"', S_COLUMNS, SUPPLIER, "Fixed", "UnclosedBraces", strategies=["json_fixer"])
+_won("won_double_escaped", "nation", '{{\\"id\\": {}, \\"name\\": \\"{}\\"}}', N_COLUMNS, NATION, "Direct")
+_won("won_markdown", "nation", 'Here is the result:\n```json\n{{"id": {}, "name": "{}"}}\n```\nDone.', N_COLUMNS, NATION, "Markdown", strategies=["markdown"])
+_won("won_markdown_commas", "nation", '```json\n{{"id": {}, "name": "{}",}}\n```', N_COLUMNS, NATION, "Markdown", strategies=["markdown"])
+_won("won_heuristic", "nation", 'The record is {{"id": {}, "name": "{}"}}, as asked.', N_COLUMNS, NATION, "Heuristic", strategies=["heuristic"])
+_won("won_yaml", "nation", "id: {}\nname: {}", N_COLUMNS, NATION, "Yaml")
+_won("won_extracted_fence", "nation", 'So:\n```\n{{"id": {},, "name": "{}"}}\n```', N_COLUMNS, NATION, "Markdown", strategies=["direct_json"], extractors=[(lambda t: [c for c in C.extract(t) if c.source == "Markdown"], 0)])
+_won("won_state_machine", "nation", 'Well {{"id": {}, "name": "{}"', N_COLUMNS, NATION, "Direct", strategies=["state_machine"])
+_won("own_cleaner", "nation", "<{}|{}>", N_COLUMNS, NATION, "Direct", strategies=["direct_json"], cleaners=[lambda t: '{"id": ' + t[1:-1].replace("|", ', "name": "') + '"}'])
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name, n_nationkey::DOUBLE / 4 AS ratio, left(n_name, 1) AS initial, n_nationkey % 2 = 1 AS odd, NULL::VARCHAR AS missing FROM nation")
+def basic_scalars(spark, sf_dir):
+    """Exact names, scalars from text: float, char, bool, and an optional field that is absent."""
+    df = load(spark, sf_dir, "nation").select("*", (F.col("n_nationkey") / 4).alias("ratio"), F.substring("n_name", 1, 1).alias("initial"), F.when(F.col("n_nationkey") % 2 == 1, "yes").otherwise("No").alias("odd"))
+    text = fmt('{{"id": "{}", "name": "{}", "ratio": "{}", "initial": "{}", "odd": "{}"}}', "n_nationkey", "n_name", "ratio", "initial", "odd")
+    schema = struct(S.required("id", LONG), S.required("name", TEXT), S.required("ratio", REAL), S.required("initial", TEXT, char=True), S.required("odd", FLAG), S.optional("missing", TEXT))
+    return read_back(df, text, schema, fast=False)
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS item, n_nationkey % 3 AS at FROM nation")
+def basic_lists(spark, sf_dir):
+    """A list, of which one element may stand alone, in basic mode."""
+    df = load(spark, sf_dir, "nation").withColumn("at", F.col("n_nationkey") % 3)
+    several = F.concat(F.lit('["-", '), F.when(F.col("at") == 2, F.lit('"-", ')).otherwise(""), F.lit('"'), "n_name", F.lit('"]'))
+    df = df.withColumn("items", F.when(F.col("at") == 0, F.concat(F.lit('"'), "n_name", F.lit('"'))).otherwise(several))
+    parsed = parse_column(df.select(fmt('{{"id": {}, "items": {}}}', "n_nationkey", "items").alias("messy")), "messy", struct(S.required("id", LONG), S.required("items", T.ArrayType(TEXT))), mode="basic")
+    rows = parsed.select("parsed.id", F.posexplode("parsed.items").alias("at", "item")).where("item <> '-'")
+    return rows.select("id", "item", F.col("at").cast("bigint").alias("at"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::BIGINT END AS number, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS words, n_nationkey % 2 = 2 AS none FROM nation")
+def enum_payload(spark, sf_dir):
+    """Enum variants that carry values, as one-key objects."""
+    value = F.when(F.col("n_nationkey") % 2 == 0, fmt('{{"number": {}}}', "n_nationkey")).otherwise(fmt('{{"words": "{}"}}', "n_name"))
+    kind = T.StructType([T.StructField("number", LONG), T.StructField("words", TEXT), T.StructField("none", FLAG)])
+    df = load(spark, sf_dir, "nation").withColumn("v", value)
+    parsed = parse_column(df.select(fmt('{{"id": {}, "v": {}}}', "n_nationkey", "v").alias("messy")), "messy", struct(S.required("id", LONG), S.required("v", kind, payload=True)), mode="basic")
+    return parsed.select("parsed.id", "parsed.v.number", "parsed.v.words", F.coalesce("parsed.v.none", F.lit(False)).alias("none"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, '{\"name\":\"' || n_name || '\"}' AS anything, '[' || n_nationkey || ',\"' || n_name || '\"]' AS shown FROM nation")
+def any_value(spark, sf_dir):
+    """A field that takes any value, as JSON, and a text field of a list."""
+    text = fmt('{{"id": {}, "anything": {{"name": "{}"}}, "shown": [{}, "{}"]}}', "n_nationkey", "n_name", "n_nationkey", "n_name")
+    schema = struct(S.required("id", LONG), S.required("anything", TEXT, json=True), S.required("shown", TEXT))
+    return read_back(load(spark, sf_dir, "nation"), text, schema, "fuzzy")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'many' ELSE 'named' END AS tag, n_name AS name FROM nation")
+def union_scored(spark, sf_dir):
+    """The cheapest of three alternatives: a number, a list of texts, a struct."""
+    value = F.element_at(F.array(fmt('"{}"', "n_nationkey"), fmt('["{}"]', "n_name"), fmt('{{"Name": "{}"}}', "n_name")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    alternatives = S.required("one", LONG), S.required("many", T.ArrayType(TEXT)), S.required("named", struct(S.required("name", TEXT)))
+    df = load(spark, sf_dir, "nation").withColumn("v", value)
+    df = df.select("n_name", parse_input(fmt('{{"id": {}, "v": {}}}', "n_nationkey", "v")))
+    parsed = parse_column(df, "messy", struct(S.required("id", LONG), S.union("v", *alternatives, scored=True)))
+    v = F.col("parsed.v")
+    return parsed.select("parsed.id", v["tag"].alias("tag"), F.coalesce(v["many"][0], v["named"]["name"], F.when(v["one"] == F.col("parsed.id"), F.col("n_name"))).alias("name"))
+
+
+def parse_input(text: Column) -> Column:
+    return text.alias("messy")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice > 100000 AS dear, o_orderstatus = 'F' AS done, CASE WHEN o_totalprice > 100000 THEN 0 ELSE 100 END + CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 10 END + 9 AS score FROM orders WHERE o_orderkey % 16 = 0")
+def parse_constraints(spark, sf_dir):
+    """Constraints on what was parsed, and what they add to the winner's score (two notes cost 9 hundredths of confidence)."""
+    own = [K.Constraint.hard("dear", lambda v: v["price"] > 100000), K.Constraint.soft("done", lambda v: v["status"] == "F")]
+    schema = struct(S.required("id", LONG), S.required("price", REAL), S.required("status", TEXT))
+    df = load(spark, sf_dir, "orders").where("o_orderkey % 16 = 0")
+    m = df.select(from_messy_json(fmt('{{"id": {}, "price": {}, "status": "{}"}}', "o_orderkey", "o_totalprice", "o_orderstatus"), schema, constraints=own).alias("m"))
+    return m.select("m.value.id", F.col("m.constraints")[0]["passed"].alias("dear"), F.col("m.constraints")[1]["passed"].alias("done"), F.col("m.winner.score").alias("score"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '<root>.region.size' WHEN 1 THEN '<root>.codes.1' ELSE '<root>' END AS path FROM nation")
+def error_paths(spark, sf_dir):
+    """Where in the target a text fails."""
+    texts = ['{"name": "{}", "region": {"size": "wide"}, "codes": [1]}', '{"name": "{}", "region": {"size": 1}, "codes": [1, {}]}', '{"region": {"size": 1}, "codes": [1]}']
+    text = F.element_at(F.array(*(F.replace(F.lit(t), F.lit('"{}"'), F.concat(F.lit('"'), "n_name", F.lit('"'))) for t in texts)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    schema = struct(S.required("name", TEXT), S.required("region", struct(S.required("size", LONG))), S.required("codes", T.ArrayType(LONG)))
+    df = load(spark, sf_dir, "nation").withColumn("messy", text)
+    return parse_column(df, "messy", schema, mode="basic").select("n_nationkey", F.col("parsed_error.path").alias("path"))
+
+
+@query("SELECT n_nationkey, n_name AS nation FROM nation")
+def enum_accents(spark, sf_dir):
+    """Names of nations with accents put on, matched without them, natively and by the kernel."""
+    names = [r.n_name for r in load(spark, sf_dir, "nation").select("n_name").collect()]
+    df = load(spark, sf_dir, "nation").withColumn("shown", F.translate("n_name", "AEIOU", "ÀÉÎÖÜ"))
+    parsed = parse_column(df.withColumn("messy", fmt('{{"nation": "{}"}}', "shown")), "messy", struct(S.enum("nation", *names)))
+    native = X.enum_match("shown", names)
+    return parsed.select("n_nationkey", F.when(native == F.col("parsed.nation"), native).alias("nation"))
+
+
+@query("SELECT n_nationkey, round(pow(0.95, n_nationkey % 5), 4)::DOUBLE AS confidence, 3 * CAST(pow(10, n_nationkey % 3) AS INT) + floor(100 * (1 - pow(0.95, n_nationkey % 5)))::INT AS by_depth FROM nation")
+def scores_by_depth(spark, sf_dir):
+    """Confidence after transformations, and scores in which deeper ones cost more, native."""
+    notes = F.array(F.struct(F.lit("float_to_int").alias("type"), F.lit(3).alias("penalty")))
+    df = load(spark, sf_dir, "nation").withColumn("n", (F.col("n_nationkey") % 5).cast("int"))
+    confidence = F.when(F.col("n") > 0, R.decayed(F.greatest("n", F.lit(1)))).otherwise(F.lit(1.0).cast("float"))
+    one = F.struct(F.lit("Direct").alias("source"), F.array().cast("array<string>").alias("fixes"), confidence.alias("confidence"), notes.alias("transformations"), (F.col("n_nationkey") % 3).cast("int").alias("max_depth"))
+    return df.select("n_nationkey", F.round(confidence.cast("double"), 4).alias("confidence"), R.score(one, by_depth=True).alias("by_depth"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation")
+def stripped_names(spark, sf_dir):
+    """Keys with punctuation, and in another case."""
+    text = F.when(F.col("n_nationkey") % 2 == 0, fmt('{{"[id]": {}, "name?": "{}"}}', *N_COLUMNS)).otherwise(fmt('{{"ID!": {}, "(NAME)": "{}"}}', *N_COLUMNS))
+    return read_back(load(spark, sf_dir, "nation"), text, ID_NAME, "fuzzy")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation")
+def substring_names(spark, sf_dir):
+    """Keys that hold a field's name, where that is asked for."""
+    return read_back(load(spark, sf_dir, "nation"), fmt('{{"the_id": {}, "shown_name_here": "{}"}}', *N_COLUMNS), ID_NAME, "fuzzy", substrings=True)
+
+
+@query("SELECT n_nationkey::BIGINT AS id, strlen(n_name)::BIGINT AS size FROM nation")
+def own_coercion(spark, sf_dir):
+    """A user's reading of a field: the length of a text."""
+    size = S.Coercer("size", lambda v: len(v))
+    schema = struct(S.required("id", LONG), S.required("size", LONG, coerce="size"))
+    return read_back(load(spark, sf_dir, "nation"), fmt("{{id: {}, size: '{}'}}", *N_COLUMNS), schema, "fuzzy", coercers=[size])

@@ -17,7 +17,7 @@ from ..operators.parse import parse_column
 def parsed(stream: DataFrame, text: str, schema, constraints: list[Constraint] | None = None, **options) -> DataFrame:
     """stream with `parsed`, `parsed_error` and, for constraints on parsed, `constraints` and `ok`."""
     out = parse_column(stream, text, schema, **options)
-    out = out.withColumn("constraints", results(constraints or []))
+    out = out.withColumn("constraints", results([c.on(F.col("parsed")) for c in constraints or []]))
     return out.withColumn("ok", F.col("parsed_error").isNull() & F.col("parsed").isNotNull() & asserts_passed("constraints"))
 
 

@@ -36,7 +36,7 @@ def test_is_json_agrees_with_the_reader(spark):
 
 
 def test_numbers_agree_with_the_kernel(spark):
-    texts = ["42", " 1,234 ", "$1,234.56", "85%", "1/2", "5/2", "1e3", "x", "1 and 2", "-7.5", "1.", ".5", "1d", "+3", "1/0"]
+    texts = ["42", " 1,234 ", "$1,234.56", "85%", "1/2", "5/2", "1e3", "x", "1 and 2", "-7.5", "1.", ".5", "1d", "+3", "1/0", "\t12", "\n 3/4 \u00a0", "\u20037\r\n,"]
     want = []
     from gristmill.kernel.coerce import Misfit, text_number
 
@@ -49,7 +49,7 @@ def test_numbers_agree_with_the_kernel(spark):
 
 
 def test_raw_readings_agree_with_the_kernel(spark):
-    texts = ["true", "The answer is False.", "true or false", "12,111", "3.5,", "hello", '{"a":1}', '"quoted"', "x" * 1001, ""]
+    texts = ["true", "The answer is False.", "true or false", "12,111", "3.5,", "hello", '{"a":1}', '"quoted"', "x" * 1001, "", "\t12", "\n{", "\u2003 7,\n", " \t true\n", "\x1f5"]
     want = []
     for t in texts:
         found = C.raw_primitive(t)
@@ -91,6 +91,75 @@ def test_fast_path_gives_the_same(spark):
         assert fast == slow
 
 
+ODD = [1, -3, 2.5, -0.5, 1e3, 1e300, 2**53 + 1, 2**63, 2**64 + 5, -(2**63), True, False, None, "", " 12 ", "12", "1,234", "$5.50", "85%", "1/3", "no", "yes", "True", "\\", 'say "k": 1', "é\u200b", "\t7\n", "9" * 25, "nan", "1e5", [], {}, [7], "x{y"]
+
+
+@pytest.mark.parametrize("mode", ["fuzzy", "basic"])
+def test_column_functions_read_what_the_kernel_reads(spark, mode):
+    """Flat rows of four types with odd values, in all pairs of a value and a type, and keys that repeat, miss or differ in case."""
+    kinds = {"n": T.LongType(), "r": T.DoubleType(), "b": T.BooleanType(), "s": T.StringType()}
+    schema = T.StructType([T.StructField(k, t) for k, t in kinds.items()] + [T.StructField('a.b', T.LongType())])
+    fine = {"n": 1, "r": 0.5, "b": True, "s": "t", "a.b": 9}
+    texts = [json.dumps(fine | {k: v}) for k in kinds for v in ODD] + [json.dumps(fine | {k: v}, indent=1, ensure_ascii=False) for k in kinds for v in ODD]
+    texts += ['{"n":1,"n":2,"r":1,"b":true,"s":"x","a.b":1}', '{"N":1,"r":1,"b":true,"s":"x","a.b":1}', '{"n":1,"r":1,"b":true,"s":"x","a.b":1,"more":{}}', '{"n":1,"r":1,"b":true,"s":"\\"n\\":","a.b":1}', '{"n" : 1 , "r":1,"b":true,"s" :\t"x","aXb":1}', "{}"]
+    df = frame(spark, texts)
+    fast = parse_column(df, "text", schema, mode=mode).orderBy("i").select("parsed", "parsed_error").collect()
+    slow = parse_column(df, "text", schema, mode=mode, fast=False).orderBy("i").select("parsed", "parsed_error").collect()
+    assert [(t, repr(r)) for t, r in zip(texts, fast)] == [(t, repr(r)) for t, r in zip(texts, slow)]
+
+
+def test_clean_rows_stay_out_of_python(spark):
+    """What the kernel gets of clean rows is null."""
+    schema = T.StructType([S.required("name", T.StringType()), S.required("price", T.DoubleType()), S.required("n", T.LongType())])
+    df = parse_column(frame(spark, ['{"name": "a", "price": "$1,234.50", "n": 2.5}', "{name: 'b', price: 1, n: 2}"]), "text", schema)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_plain" in plan and [tuple(r.parsed) for r in df.orderBy("i").collect()] == [("a", 1234.5, 3), ("b", 1.0, 2)]
+
+
+def test_own_column_names_survive(spark):
+    df = frame(spark, ['{"k": 1, "on": true}']).selectExpr("i", "text", "1 _messy", "2 _clean", "3 _plain")
+    row = parse_column(df, "text", COUNT).first()
+    assert (row["_messy"], row["_clean"], row["_plain"], row.parsed.k) == (1, 2, 3, 1)
+
+
+def test_variants_without_accents(spark):
+    variants = ["e", "Öl", "straße", "naive", "Wasser"]
+    texts = ["é", "ol", "OL", "strasse", "naïve", "\tWasser\n", "wässer", "Ｗasser", "ŒUVRE", "e\u0301"]
+    want = [names.find_variant(t, [(v, None) for v in variants]) for t in texts]
+    assert column(frame(spark, texts), X.enum_match("text", variants)) == want
+    letters = ["é", "ß", "Å", "ǅ", "ﬁ", "a\u0308", "Ａ", "½"]
+    assert [a for a in column(frame(spark, letters), X.unaccented("text"))][:3] == ["e", "ss", "A"]
+
+
+def test_constraints_within_a_parse(spark):
+    own = [K.Constraint.hard("positive", lambda v: v["age"] > 0), K.Constraint.soft("short", lambda v: F.length(v["name"]) < 5, "a short name")]
+    texts = ['{"name": "Al", "age": 3}', '{"name": "Alberta", "age": -1}', "nothing", None]
+    df = frame(spark, texts).select("i", from_messy_json("text", USER, constraints=own).alias("m"))
+    rows = [r.m for r in df.orderBy("i").collect()]
+    assert [[c.passed for c in r.constraints] if r and r.constraints else None for r in rows] == [[True, True], [False, False], None, None]
+    notes = [[(t.type, t.penalty, json.loads(t.payload)) for t in r.winner.transformations] for r in rows[:2]]
+    assert notes[0] == [("constraint_checked", 0, {"is_assert": True, "name": "positive", "passed": True}), ("constraint_checked", 0, {"is_assert": False, "name": "short", "passed": True})]
+    assert [n[1] for n in notes[1]] == [100, 10]
+    # two notes leave 0.95 squared of the confidence: 9 hundredths lost
+    assert [r.winner.score for r in rows[:2]] == [9, 119] and rows[2].error.code == "NoCandidates"
+    typed = parse_column(frame(spark, texts), "text", USER, constraints=own)
+    assert [r.parsed_constraints and K_passed(r.parsed_constraints) for r in typed.orderBy("i").collect()] == [True, False, None, None]
+
+
+def K_passed(found):
+    return all(c.passed or c.level != "assert" for c in found)
+
+
+def test_options_reach_the_kernel(spark):
+    kind = T.StructType([S.required("customer_name", T.StringType()), S.required("n", T.LongType(), coerce="twice")])
+    twice = S.Coercer("twice", lambda v: 2 * int(v))
+    df = frame(spark, ['{"customer_name_shown": "A", "n": 4}', '{"customer_name": "B", "n": []}'])
+    rows = [r[0] for r in df.orderBy("i").select(from_messy_json("text", kind, coercers=[twice], substrings=True)).collect()]
+    assert tuple(rows[0].value) == ("A", 8) and rows[1].error.path == "<root>.n"
+    yaml = frame(spark, ["id: 1\nname: x"]).select(from_messy_json("text", "id bigint, name string", yaml=False)["error"]["code"])
+    assert yaml.first()[0] == "NoCandidates"
+
+
 def test_kernel_runs_once_below_a_filter(spark):
     df = parse_column(frame(spark, ["{name: 'A', age: 1}"]), "text", USER).where("parsed.age > 0")
     plan = df._jdf.queryExecution().executedPlan().toString()
