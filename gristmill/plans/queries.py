@@ -461,3 +461,12 @@ def own_coercion(spark, sf_dir):
     size = S.Coercer("size", lambda v: len(v))
     schema = struct(S.required("id", LONG), S.required("size", LONG, coerce="size"))
     return read_back(load(spark, sf_dir, "nation"), fmt("{{id: {}, size: '{}'}}", *N_COLUMNS), schema, "fuzzy", coercers=[size])
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
+def clean_and_dirty(spark, sf_dir):
+    """Nine rows of ten are clean JSON, which column functions read; the tenth needs repairs."""
+    clean, dirty = fmt('{{"id": {}, "name": "{}", "balance": {}}}', "c_custkey", "c_name", "c_acctbal"), fmt("{{'id': {}, 'name': '{}', 'balance': {},}}", "c_custkey", "c_name", "c_acctbal")
+    text = F.when(F.col("c_custkey") % 10 == 0, dirty).otherwise(clean)
+    schema = struct(S.required("id", LONG), S.required("name", TEXT), S.required("balance", REAL))
+    return read_back(load(spark, sf_dir, "customer"), text, schema, "fuzzy")
