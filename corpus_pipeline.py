@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gristmill.llm import decontaminate, exact_dedup, language_id, ngram_join, packing
 from gristmill.llm.common import bounded_batches, in_fold, remove, shared_dir, table
-from gristmill.llm.queries import tokenizer_path
+from gristmill.llm.queries import RANKS, VOCABULARY
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(docs, VOCABULARY, RANKS)
 
 
 STAGES = [
