@@ -67,8 +67,12 @@ def scratch(spark: SparkSession):
         remove(spark, folder)
 
 
-def lean() -> None:
-    """Makes this Python worker give large arrays back to the system when it frees them, where the C library can."""
+def lean(heavy: str | None = None) -> None:
+    """Drops what else is kept and heavy from this Python worker, which Spark uses again and again, and makes it
+    give large arrays back to the system when it frees them, where the C library can."""
+    others = sys.__dict__.setdefault("_gristmill_heavy", {})
+    for name in [n for n in others if n != heavy]:
+        del others[name]
 
     def make():
         try:
@@ -80,9 +84,9 @@ def lean() -> None:
     kept("lean", make)
 
 
-def small_batches(batches, column: str = "text"):
-    """The same rows in slices of about BATCH_BYTES of one column, one row at least."""
-    lean()
+def small_batches(batches, column: str = "text", heavy: str | None = None):
+    """The same rows in slices of about BATCH_BYTES of one column, one row at least; heavy: what is kept meanwhile."""
+    lean(heavy)
     for batch in batches:
         rows = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.column(column).nbytes)))
         if rows >= batch.num_rows:
@@ -151,10 +155,24 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def kept(name: str, make):
-    """make(), once for each Python process."""
-    held = sys.__dict__.setdefault("_gristmill", {})
+def tokenizer_path(name: str) -> str:
+    """Where this machine has a vocabulary file of the tokenizer package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def resolved(path) -> str:
+    """A path, or what a function that is called where the file is opened gives."""
+    return path() if callable(path) else path
+
+
+def kept(name: str, make, heavy: bool = False):
+    """make(), once for each Python process; of what is heavy, only the last is held, until a worker does something else."""
+    held = sys.__dict__.setdefault("_gristmill_heavy" if heavy else "_gristmill", {})
     if name not in held:
+        if heavy:
+            held.clear()
         held[name] = make()
     return held[name]
 

@@ -7,11 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, scratch, store
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n: int) -> pd.DataFrame:
-    """(text, y) of at most n labelled documents where allowed holds for doc_id, by hash order.
+#: Bytes of texts that a sample brings to the driver.
+BYTES = 1 << 26
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n: int, most: int = BYTES) -> pd.DataFrame:
+    """(text, y) of at most n labelled documents where allowed holds for doc_id, by hash order: as many as hold `most` bytes.
 
     The ids are picked from labels alone; only their texts are read. A document
     with several labels counts with their maximum."""
@@ -19,7 +23,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n: i
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & allowed)
     picked = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = docs.sparkSession.createDataFrame(picked.toPandas(), "doc_id bigint, y int")
-    found = id_and_text(docs).join(F.broadcast(picked), "doc_id").toPandas()
+    found = id_and_text(docs).join(F.broadcast(picked), "doc_id")
+    with scratch(docs.sparkSession):
+        found = store(found.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0))), "sample")
+        sizes = found.select("doc_id", "size", F.xxhash64("doc_id").alias("hash")).toPandas().drop_duplicates("doc_id").sort_values(["hash", "doc_id"])
+        last = sizes["hash"][sizes["size"].cumsum() <= most].max() if len(sizes) else 0
+        found = found.where(F.xxhash64("doc_id") <= int(last if last == last else -(1 << 63))).drop("size").toPandas()
     return found.drop_duplicates("doc_id").sort_values("doc_id")[["text", "y"]].reset_index(drop=True)
 
 

@@ -18,17 +18,18 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kept, scratch, small_batches, store
+from .common import id_and_text, kept, resolved, scratch, small_batches, store
 
 CAPACITY = 2048
 #: Chunks of text whose ids one Python process keeps.
-CACHE = 300_000
+CACHE = 200_000
 #: Rows that one ranking window should hold.
 WINDOW_ROWS = 20_000
 
@@ -83,14 +84,15 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, length, capacity))]
 
 
-def pieces(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str | Callable[[], str], ranks: str | Callable[[], str], capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): the pieces of every document."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches):
-        encoder = kept(f"encoder {path}", lambda: Encoder(path, ranks))
-        for batch in small_batches(batches):
+        name = f"encoder {path}"
+        encoder = kept(name, lambda: Encoder(resolved(path), resolved(ranks)), heavy=True)
+        for batch in small_batches(batches, heavy=name):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = memoryview((encoder.encode(text) if text else b"") + b"\0\0\0\0")
@@ -199,6 +201,6 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, path: str, ranks: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | Callable[[], str], ranks: str | Callable[[], str], capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     with scratch(docs.sparkSession):
         return store(pack(store(pieces(docs, path, ranks, capacity, with_ids), "pieces"), capacity), "packed", lasting=True)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, exact_dedup, labelled, language_id, ngram_join, packing, quality, secret_scan, substring_dedup, token_counts, toxicity
-from .common import bounded_batches, in_fold, table
+from .common import bounded_batches, in_fold, table, tokenizer_path
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Files of the vocabulary that op5 and op7 use, found by each worker on its own machine.
+VOCABULARY, RANKS = partial(tokenizer_path, "byte_bpe_50k.json"), partial(tokenizer_path, "byte_bpe_50k.tiktoken")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +35,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +43,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, RANKS)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ Words are runs of non-space characters.  A word is read as the marker byte
 followed by its UTF-8 bytes; pieces with the marker start words.  The
 vocabulary is that of a byte-level tokenizer file, in which the marker stands
 for the space before a word; every single byte is a piece, so any word splits.
+A byte-pair vocabulary serves as one of word pieces here: its pieces are taken
+greedily, not by merges, and its special tokens are pieces like any other.
 
 Defined results: a null or empty text, or one of white space only, has 0 words
 and 0 tokens; repeated rows are counted each; other columns are ignored.
@@ -20,12 +22,12 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, kept, small_batches
+from .common import id_and_text, kept, resolved, small_batches
 
 MARKER = 0x20
 #: Distinct words whose counts one Python process keeps; then it starts anew.
@@ -109,15 +111,16 @@ class _Counts(dict):
         return n
 
 
-def count_tokens(docs: DataFrame, vocab_path: str) -> DataFrame:
+def count_tokens(docs: DataFrame, vocab_path: str | Callable[[], str]) -> DataFrame:
     """doc_id, n_words, n_tokens: one row per row of docs. No shuffle.
 
     Each executor reads the vocabulary from vocab_path, a local file of its
-    tokenizer package, once per Python process."""
+    tokenizer package or a function that finds it there, once per Python process."""
 
     def run(batches):
-        counts = kept(f"longest-match {vocab_path}", lambda: _Counts(LongestMatch(vocabulary(vocab_path))))
-        for batch in small_batches(batches):
+        name = f"longest-match {vocab_path}"
+        counts = kept(name, lambda: _Counts(LongestMatch(vocabulary(resolved(vocab_path)))), heavy=True)
+        for batch in small_batches(batches, heavy=name):
             words, tokens = [], []
             for text in batch.column("text").to_pylist():
                 found = text.split() if text else []

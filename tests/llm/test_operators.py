@@ -335,6 +335,7 @@ def test_training_samples(spark):
     got = labelled.sample(df, labels, "toxic", ~common.in_fold(4, 9), 10)
     assert got.values.tolist() == [["a", 1], [None, 1], ["d", 0]]
     assert len(labelled.sample(df, labels, "toxic", F.lit(True), 2)) <= 2
+    assert [len(labelled.sample(df, labels, "toxic", ~common.in_fold(4, 9), 10, most)) for most in (0, 1, 2)] in ([0, 2, 3], [1, 2, 3], [0, 1, 3])
     empty = labelled.sample(df, labels.where("false"), "toxic", F.lit(True), 2)
     assert quality.score_texts(["x", ""], quality.train([], np.array([]))).tolist() and len(empty) == 0
     nothing = toxicity.train([], np.array([]))
@@ -459,7 +460,7 @@ def test_longest_match_agrees_with_greedy():
 
 
 def test_token_counts(spark):
-    from gristmill.llm.queries import tokenizer_path
+    from gristmill.llm.common import tokenizer_path
 
     path = tokenizer_path("byte_bpe_50k.json")
     pieces = set(token_counts.vocabulary(path))
@@ -491,7 +492,7 @@ def test_plan_holds_everything():
 def test_packing_round_trip(spark, monkeypatch):
     from tokenizers import Tokenizer
 
-    from gristmill.llm.queries import tokenizer_path
+    from gristmill.llm.common import tokenizer_path
 
     monkeypatch.setattr(packing, "WINDOW_ROWS", 5)
     path, ranks = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken")
