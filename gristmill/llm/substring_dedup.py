@@ -142,16 +142,18 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, key bigint, cid bigint, words int")
 
 
-LINK = "x bigint, y bigint, px int, py int, n int"
+#: Links of one pair of classes: how many, the most words of one, and (px, py, words) of each in 12 bytes.
+LINK = "x bigint, y bigint, links int, most int, at binary"
 #: What a pass over the texts writes, by kind: items that go to buckets (seeds or pairs), runs that do, links made on the spot.
 ITEMS, RUNS, LINKS = range(3)
-PASS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("hashes", pa.binary()), *[(c, pa.int64()) for c in "xy"], *[(c, pa.int32()) for c in ("px", "py", "n")]])
+PASS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("hashes", pa.binary()), ("x", pa.int64()), ("y", pa.int64()), ("links", pa.int32()), ("most", pa.int32()), ("at", pa.binary())])
 
 
 def padded(**columns) -> pa.RecordBatch:
     """A batch of PASS; columns not given are null."""
     n = len(next(iter(columns.values())))
-    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in PASS]
+    own = lambda c, kind: c if isinstance(c, pa.Array) else pa.array(c, kind)
+    arrays = [own(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in PASS]
     return pa.RecordBatch.from_arrays(arrays, schema=PASS)
 
 
@@ -163,7 +165,7 @@ def blobs_of(bucket: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
 
 
 def links_of(table: pa.Table) -> pa.RecordBatch:
-    return padded(kind=np.full(len(table), LINKS), **{c: table[c].to_numpy() for c in table.column_names})
+    return padded(kind=np.full(len(table), LINKS), **{c: table[c].combine_chunks() for c in table.column_names})
 
 
 def combine(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,14 +286,42 @@ def with_texts(docs: DataFrame, wanted: DataFrame, small: bool) -> DataFrame:
     return docs.join(wanted, "key")
 
 
+def linked_places(batches):
+    """cid, places: the places at which classes have links, once each for what a task reads at a time."""
+    lean()
+    held, count = [], 0
+
+    def out():
+        own = np.unique(np.concatenate(held))
+        first = np.flatnonzero(np.append(True, own["cid"][1:] != own["cid"][:-1]))
+        blobs = [own["place"][a:b].astype("<i4").tobytes() for a, b in zip(first, np.append(first[1:], len(own)))]
+        return pa.RecordBatch.from_arrays([pa.array(own["cid"][first]), pa.array(blobs, pa.binary())], ["cid", "places"])
+
+    for batch in batches:
+        at = [np.frombuffer(b.as_buffer(), dtype="<i4").reshape(-1, 3) for b in batch.column("at")]
+        if not at:
+            continue
+        n, at = [len(a) for a in at], np.concatenate(at)
+        for c, column in enumerate("xy"):
+            own = np.empty(len(at), dtype=[("cid", "<i8"), ("place", "<u4")])
+            own["cid"], own["place"] = np.repeat(batch.column(column).to_numpy(), n), at[:, c]
+            held.append(np.unique(own))
+            count += len(held[-1])
+        if count >= HELD:
+            yield out()
+            held, count = [], 0
+    if count:
+        yield out()
+
+
 def second_links(docs: DataFrame, classes: DataFrame, links: DataFrame, found: DataFrame, buckets: int, k: int, w: int, length: int) -> DataFrame:
     """Links of the runs and of the pairs of shared seeds that lie in no passage found."""
     shift = np.uint64(64 - (buckets - 1).bit_length())
-    places = links.select(F.col("x").alias("cid"), F.col("px").alias("place")).union(links.select("y", "py")).distinct()
-    places = places.groupBy("cid").agg(F.collect_list("place").alias("places")).where(F.size("places") > 1)
+    places = links.select("x", "y", "at").mapInArrow(linked_places, "cid bigint, places binary")
+    places = places.groupBy("cid").agg(F.collect_list("places").alias("places"))
     ranges = found.groupBy("cid", "start").agg(F.max("end").alias("end")).groupBy("cid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     wanted = store(places.join(ranges, "cid", "left").join(classes.select("cid", "key"), "cid"), "substring-open")
-    size = wanted.agg(F.sum(F.size("places") + 2 * F.coalesce(F.size("starts"), F.lit(0)) + 8)).first()[0] or 0
+    size = wanted.agg(F.sum(F.aggregate("places", F.lit(0), lambda n, b: n + F.octet_length(b)) / 4 + 2 * F.coalesce(F.size("starts"), F.lit(0)) + 8)).first()[0] or 0
     texts = with_texts(docs, wanted, size <= BROADCAST_PLACES).select("text", "cid", "places", "starts", "ends")
 
     def arrays(column, i) -> np.ndarray:
@@ -310,7 +340,7 @@ def second_links(docs: DataFrame, classes: DataFrame, links: DataFrame, found: D
                 seen.add(cid)
                 starts, ends = arrays(batch.column("starts"), i), arrays(batch.column("ends"), i)
                 at, g = minimisers(h, k, w)
-                shared = np.isin(at, arrays(batch.column("places"), i))
+                shared = np.isin(at, np.frombuffer(b"".join(batch.column("places")[i].as_py()), dtype="<i4"))
                 own = seed_pairs(at[shared], g[shared], starts, ends, k)
                 own["cid"] = cids[i]
                 pairs.append(own)
@@ -424,8 +454,17 @@ def partners(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(x: np.ndarray, y: np.ndarray, n) -> pa.Table:
-    """n: words from these places on that are equal."""
-    return pa.table({"x": x["cid"].copy(), "y": y["cid"].copy(), "px": x["place"].astype(np.int32), "py": y["place"].astype(np.int32), "n": np.broadcast_to(n, len(x)).astype(np.int32)})
+    """Links by pair of classes; n: words from the places of x and y on that are equal."""
+    at = np.empty((len(x), 3), dtype="<i4")
+    at[:, 0], at[:, 1], at[:, 2] = x["place"], y["place"], n
+    order = np.lexsort((y["cid"], x["cid"]))
+    at, cx, cy = at[order], x["cid"][order], y["cid"][order]
+    first = np.flatnonzero(np.append(True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1]))) if len(x) else np.empty(0, dtype=np.int64)
+    links = np.diff(np.append(first, len(x)))
+    most = np.maximum.reduceat(at[:, 2], first) if len(x) else at[:, 2]
+    blobs = [at[a : a + c].tobytes() for a, c in zip(first.tolist(), links.tolist())]
+    columns = (pa.array(cx[first], pa.int64()), pa.array(cy[first], pa.int64()), pa.array(links, pa.int32()), pa.array(most, pa.int32()), pa.array(blobs, pa.binary()))
+    return pa.Table.from_arrays(columns, ["x", "y", "links", "most", "at"])
 
 
 def items_of(blobs, kind: np.dtype) -> np.ndarray:
@@ -446,7 +485,10 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, k: int) -> pa.Table:
     for part, place in ((both[: len(x)], "place"), (both[len(x) :], "far")):
         part["x"], part["y"], part["px"], part["py"] = x["cid"], y["cid"], x[place], y[place]
     both = np.unique(both)
-    return pa.table({c: both[c].copy() for c in both.dtype.names} | {"n": np.full(len(both), k, dtype=np.int32)})
+    ends = [np.empty(len(both), dtype=SEED) for _ in "xy"]
+    for end, c in zip(ends, "xy"):
+        end["cid"], end["place"] = both[c], both[f"p{c}"]
+    return linked(*ends, k)
 
 
 def meet_pairs(key, blobs, k: int):
@@ -586,18 +628,16 @@ def chains(blocks: np.ndarray) -> list[list[int]]:
 
 def candidates(links: DataFrame, k: int, least: int) -> DataFrame:
     """x, y, ax, bx, ay, by: regions of chains that may reach `least` words."""
-    groups = links.groupBy("x", "y").agg(F.collect_list(F.struct("px", "py", "n")).alias("at"), F.max("n").alias("most")).where((F.size("at") > 1) | (F.col("most") > k)).drop("most")
+    groups = links.groupBy("x", "y").agg(F.collect_list("at").alias("at"), F.sum("links").alias("links"), F.max("most").alias("most"))
+    groups = groups.where((F.col("links") > 1) | (F.col("most") > k)).select("x", "y", "at")
 
     def run(batches):
         lean()
         for batch in batches:
             rows = []
-            at = batch.column("at")
-            offsets = at.offsets.to_numpy()
-            px, py, n = (at.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("px", "py", "n"))
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
-                own = slice(offsets[i], offsets[i + 1])
-                blocks = blocks_of(px[own], py[own], n[own])
+            for x, y, at in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "at"))):
+                at = np.frombuffer(b"".join(at), dtype="<i4").reshape(-1, 3).astype(np.int64)
+                blocks = blocks_of(at[:, 0], at[:, 1], at[:, 2])
                 for chain in chains(blocks):
                     a, b = blocks[chain[0]], blocks[chain[-1]]
                     spans = b[0] + b[2] - a[0], b[1] + b[2] - a[1]
