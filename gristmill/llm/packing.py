@@ -7,8 +7,8 @@ longest with the longest that still fits, at most two in a bin; shorter ones,
 longest first, go to the tightest gap they fit in, and open a bin only where
 none is left.  Bins of one make are a class with a count, so the plan is a
 bounded table.  Each piece then takes the place that its rank among pieces of
-its length gives it; ranks come from salted windows, so a very common length
-is not one task's work.
+its length gives it; ranks come from windows of WINDOW_ROWS pieces or so, so a
+very common length is not one task's work.
 
 Defined results: a null or empty text is one piece of the closing id alone;
 repeated rows are packed each; a null doc_id is carried along.
@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Chunks of text whose ids one Python process keeps.
 CACHE = 200_000
 #: Rows that one ranking window should hold.
-WINDOW_ROWS = 20_000
+WINDOW_ROWS = 2000
 
 
 class Encoder(dict):
@@ -178,8 +178,8 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut_up.sparkSession
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
-    salts = -(-max([1, *histogram.values()]) // WINDOW_ROWS)
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = [-(-histogram.get(n, 1) // WINDOW_ROWS) for n in range(1, capacity + 1)]
+    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.lit(salts), F.col("length").cast("int"))))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
