@@ -85,22 +85,25 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str | Callable[[], str], ranks: str | Callable[[], str], capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): the pieces of every document."""
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
+    """doc_id, piece, start, length, ids_crc32 (and ids, if asked for): the pieces of every document; deal: a
+    number that tells equal rows of one task apart."""
+    names = ["deal", "doc_id", "piece", "start", "length", "ids_crc32"]
+    schema = "deal bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
 
     def run(batches):
         name = f"encoder {path}"
         encoder = kept(name, lambda: Encoder(resolved(path), resolved(ranks)), heavy=True)
+        dealt = 0
         for batch in small_batches(batches, heavy=name):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = memoryview((encoder.encode(text) if text else b"") + b"\0\0\0\0")
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + n)]
-                    rows.append((doc_id, k, start, n, zlib.crc32(own), *([bytes(own)] * with_ids)))
-            columns = list(zip(*rows)) if rows else [()] * (5 + with_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((dealt, doc_id, k, start, n, zlib.crc32(own), *([bytes(own)] * with_ids)))
+                    dealt += 1
+            columns = list(zip(*rows)) if rows else [()] * (6 + with_ids)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names + ["ids"] * with_ids)
 
     return id_and_text(docs).mapInArrow(run, schema)
@@ -174,17 +177,18 @@ def places(classes: list[tuple[int, list[int]]]) -> np.ndarray:
 
 
 def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with sequence_id and offset; cut_up must be a stored table."""
+    """The pieces, as pieces() gives them, with sequence_id and offset; cut_up must be a stored table."""
     spark = cut_up.sparkSession
     histogram = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
     salts = [-(-histogram.get(n, 1) // WINDOW_ROWS) for n in range(1, capacity + 1)]
-    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.lit(salts), F.col("length").cast("int"))))
+    salted = cut_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "deal"), F.element_at(F.lit(salts), F.col("length").cast("int"))))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "deal")) - 1
     ranked = salted.withColumn("rank", rank).join(counts.select("length", "salt", before.alias("before")), ["length", "salt"])
-    ranked = ranked.select(*cut_up.columns, (F.col("rank") + F.col("before")).cast("bigint").alias("rank"))
+    columns = [c for c in cut_up.columns if c != "deal"]
+    ranked = ranked.select(*columns, (F.col("rank") + F.col("before")).cast("bigint").alias("rank"))
 
     def run(batches):
         places = table.value
@@ -197,7 +201,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             arrays = [batch.column(c) for c in own] + [pa.array(found[:, 2] + rank - found[:, 1]), pa.array(found[:, 3].copy())]
             yield pa.RecordBatch.from_arrays(arrays, own + ["sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema if f.name in columns)
     return ranked.mapInArrow(run, f"{fields}, sequence_id bigint, offset bigint")
 
 
