@@ -360,6 +360,21 @@ STRATEGIES: dict[str, tuple[Strategy, int]] = {
 }
 
 
+#: Strategies whose candidates all score over BEHIND: the last to be asked, where only the winner is wanted.
+LATE, BEHIND = ("json_fixer", "heuristic", "raw_primitive"), 30
+
+
+def early(text: str, yaml: bool = True) -> dict[str, list[Candidate]]:
+    """What the strategies that are not late find, by name, up to one that reads the text directly."""
+    text, found = preclean(text), {}
+    for name, (strategy, _) in sorted(STRATEGIES.items(), key=lambda s: s[1][1]):
+        if name not in LATE and (yaml or name != "yaml"):
+            found[name] = strategy(text)
+            if any(c.source == "Direct" for c in found[name]):
+                break
+    return found
+
+
 # --- when no strategy finds anything: extract, clean, parse or repair
 
 
@@ -414,17 +429,18 @@ def normalise(c: Candidate) -> Candidate:
 
 def parse(
     text: str, strategies: Iterable[str | tuple[Strategy, int]] | None = None, cleaners: Iterable[Cleaner] | None = None,
-    extractors: Iterable[tuple[Extractor, int]] | None = None, yaml: bool = True,
+    extractors: Iterable[tuple[Extractor, int]] | None = None, yaml: bool = True, known: dict[str, list[Candidate]] | None = None,
 ) -> list[Candidate]:
     """All readings of a text, in the order found.
 
     Where no strategy finds anything, extractors find pieces of the text, and cleaners, one after the
-    other, make them readable: by default extract() and clean().  yaml: whether YAML is a reading."""
-    text = preclean(text)
-    chosen = [STRATEGIES[s] if isinstance(s, str) else s for s in (STRATEGIES if strategies is None else strategies) if yaml or s != "yaml"]
+    other, make them readable: by default extract() and clean().  yaml: whether YAML is a reading.
+    known: what some strategies, by name, are known to find."""
+    text, known = preclean(text), known or {}
+    chosen = [(s, *STRATEGIES[s]) if isinstance(s, str) else (None, *s) for s in (STRATEGIES if strategies is None else strategies) if yaml or s != "yaml"]
     found: list[Candidate] = []
-    for strategy, _ in sorted(chosen, key=lambda s: s[1]):
-        own = strategy(text)
+    for name, strategy, _ in sorted(chosen, key=lambda s: s[2]):
+        own = known[name] if name in known else strategy(text)
         found += own
         if any(c.source == "Direct" for c in own):
             return [normalise(c) for c in found]

@@ -84,7 +84,7 @@ def parser(
             if one is None:
                 rows.append(None)
                 continue
-            value, winner, ranked, error = from_text(one, shape, mode, chosen, full_provenance, **reading)
+            value, winner, ranked, error = from_text(one, shape, mode, chosen, full_provenance, with_candidates, **reading)
             row = {"value": value, "error": error and {"code": error.code, "message": str(error), "path": error.scope}}
             if provenance:
                 row["winner"] = winner and candidate_row(winner)

@@ -351,3 +351,19 @@ def test_yaml_can_be_left_out(monkeypatch):
     with pytest.raises(ModuleNotFoundError):
         C.parse(text)
     assert C.parse("plain words", yaml=True)
+
+
+def test_the_winner_is_the_same_without_late_strategies():
+    """Texts of every kind, with all candidates and with the better ones first."""
+    texts = [
+        '{"name": "A", "age": 3}', '{"name": "A", "age": "3"}', "{'name': 'A', 'age': 3}", 'so {"name": "A", "age": 3} it is', '{"name": "A", "age": 3} {"name": "B", "age": 4}',
+        '```json\n{"name": "A", "age": 3,}\n```', "name: A\nage: 3", '{"name": "A", "age": 3', '"{\\"name\\": \\"A\\", \\"age\\": 3}"', '["A", 3]', "nothing", "", "true 3", '{"name": "A"} {"age": 3',
+        'x {"name": "A", "age": 3, } y {"name"', "{name: A, age: 3}", '[{"name": "A", "age": 3}]', "{" * 60 + '"name": "A", "age": 3' + "}" * 60, "- name: A\n  age: 3\n- b: c",
+    ]
+    shapes = [USER2, S.of(T.ArrayType(T.StructType([req("name", TEXT), req("age", LONG)]))), S.of(TEXT), S.of(T.MapType(TEXT, TEXT)), S.of(LONG), S.of(FLAG)]
+    for text in texts:
+        for shape in shapes:
+            for mode in ("fuzzy", "basic"):
+                value, winner, _, error = from_text(text, shape, mode)
+                again, chosen, _, other = from_text(text, shape, mode, every=False)
+                assert (value, winner, str(error), error and error.code) == (again, chosen, str(other), other and other.code), (text, shape, mode)
