@@ -29,7 +29,7 @@ from .common import id_and_text, kept, resolved, scratch, small_batches, store
 
 CAPACITY = 2048
 #: Chunks of text whose ids one Python process keeps.
-CACHE = 200_000
+CACHE = 300_000
 #: Rows that one ranking window should hold.
 WINDOW_ROWS = 2000
 

@@ -45,13 +45,13 @@ LEXICON = (
     "hate hateful hideous idiot idiotic ignorant imbecile jerk kill lame liar loser lunatic maggot moron moronic nasty parasite pathetic pig prick "
     "psycho puke rat retard retarded rubbish scum shit shitty sick slut stupid sucker trash ugly useless vermin vile weak whore worthless wretch"
 ).split()
-# Patterns that vote whatever the words are.
+# Patterns that vote whatever the words are, each beside a text (in lower case) that all its matches hold.
 PATTERNS = {
-    "shout": re.compile(r"\b[A-Z]{3,}!"),
-    "exclaim": re.compile(r"!{2,}"),
-    "masked": re.compile(r"\b[A-Za-z]+[*#@$%]{2,}[A-Za-z]+\b"),
-    "address": re.compile(r"\byou(?:'re| are) (?:a |an |so |such )", re.I),
-    "threat": re.compile(r"\b(?:i|we) (?:will|'ll|gonna) \w+ you\b", re.I),
+    "shout": ("!", re.compile(r"\b[A-Z]{3,}!")),
+    "exclaim": ("!!", re.compile(r"!{2,}")),
+    "masked": ("", re.compile(r"(?<=[A-Za-z])[*#@$%]{2,}(?=[A-Za-z])")),
+    "address": ("you", re.compile(r"\byou(?:'re| are) (?:a |an |so |such )", re.I)),
+    "threat": (" you", re.compile(r"\b(?:i|we) (?:will|'ll|gonna) \w+ you\b", re.I)),
 }
 
 
@@ -120,8 +120,8 @@ class Votes:
                 for k in own:
                     if not more or not self.lexicon[k][1]:
                         out[k] += 1
-        for k, pattern in enumerate(PATTERNS.values()):
-            out[self.n + k] = pattern.search(text) is not None
+        for k, (needs, pattern) in enumerate(PATTERNS.values()):
+            out[self.n + k] = needs in low and pattern.search(text) is not None
         return out
 
 
