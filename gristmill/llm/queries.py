@@ -91,6 +91,32 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # classes of equal sets, pairs of them by shared shingles, and what each reaches by links
+    "op1_ngram_join": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s
+            FROM worded
+        ), classes AS (
+            SELECT row_number() OVER () AS c, s, len(s) AS n, least FROM (SELECT s, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s)
+        ), tokens AS (
+            SELECT c, n, unnest(s) AS t FROM classes
+        ), pairs AS (
+            SELECT a.c AS a, b.c AS b, count(*) AS shared, any_value(a.n) + any_value(b.n) - count(*) AS whole
+            FROM tokens a JOIN tokens b ON a.t = b.t AND a.c < b.c GROUP BY a.c, b.c
+        ), links AS (
+            SELECT a, b FROM pairs WHERE 100 * shared >= 75 * whole UNION ALL SELECT b, a FROM pairs WHERE 100 * shared >= 75 * whole
+        ), reach AS (
+            SELECT c, c AS r FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.r
+        ), named AS (
+            SELECT reach.c, min(classes.least) AS component FROM reach JOIN classes ON classes.c = reach.r GROUP BY reach.c
+        )
+        SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(named.component, sets.doc_id) AS component_id
+        FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN named ON named.c = classes.c
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256

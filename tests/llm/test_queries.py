@@ -131,3 +131,21 @@ def test_a_text_of_five_megabytes(spark, folder, tmp_path):
     assert found["op2_secret_scan"][0].spans.split(",")[0].split(":")[1] == str(long.index("AKIA"))
     assert sum(r.length for r in found["op7_packing"]) > 500_000 and [r.item_id for r in found["op10_decontaminate"]] == [1]
     assert found["op9_language_id"][0].lang_pred == "en" and len(found["op3_quality"]) == len(found["op8_toxicity"]) == 1
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = db.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    found = queries.QUERIES[name](spark, data)
+    assert sorted(found.columns) == sorted(columns)
+    assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r)) for r in found.select(*columns).collect())
