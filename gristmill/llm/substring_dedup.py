@@ -35,14 +35,13 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from heapq import heappop, heappush
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, scratch, small_batches, store, work_dir
+from .common import lean, scratch, small_batches, store
 from .ngram_join import located, n_buckets, signed
 from .textkernel import WEIGHT, chunks, mix, windows, words
 
@@ -179,13 +178,11 @@ def combine(p: np.ndarray, with_before: bool) -> tuple[np.ndarray, np.ndarray, n
 
 
 def write_pass(texts: DataFrame, run, tag: str) -> dict[int, DataFrame]:
-    """Writes what run() makes of texts (RecordBatches of PASS), and reads it back by kind."""
-    spark = texts.sparkSession
-    path = f"{work_dir(spark)}/{tag}-{uuid4().hex}"
-    columns = "bucket int, blob binary, hashes binary, " + LINK
-    texts.mapInArrow(run, "kind int, " + columns).write.partitionBy("kind").parquet(path)
-    found = spark.read.schema(columns + ", kind int").parquet(path)
-    return {kind: found.where(F.col("kind") == kind).drop("kind") for kind in (ITEMS, RUNS, LINKS)}
+    """Writes what run() makes of texts (RecordBatches of PASS), one file for each task, and reads it back by kind:
+    kinds have columns of their own, so that each is read alone."""
+    found = store(texts.mapInArrow(run, "kind int, bucket int, blob binary, hashes binary, " + LINK), tag)
+    columns = {ITEMS: ["bucket", "blob"], RUNS: ["bucket", "blob", "hashes"], LINKS: ["x", "y", "links", "most", "at"]}
+    return {kind: found.where(F.col("kind") == kind).select(own) for kind, own in columns.items()}
 
 
 def cut_items(held: list, shift, with_before: bool, links):
@@ -706,8 +703,8 @@ def passages(docs: DataFrame, classes: DataFrame, found: DataFrame, least: int,
     many = asks.groupBy("cid").count().where(F.col("count") > ASKED)
     asks = asks.join(many, "cid", "left").withColumn("salt", F.pmod("no", F.ceil(F.coalesce("count", F.lit(1)) / ASKED)))
     asks = asks.groupBy("cid", "salt").agg(F.collect_list(F.struct("no", "side", "a", "b")).alias("asks"))
-    asks = store(asks.join(classes, "cid").select("key", "cid", "asks"), "substring-asks")
-    texts = with_texts(docs, asks, 2 * found.count() <= BROADCAST_ASKS).select("text", "cid", "asks")
+    asks, small = asks.join(classes, "cid").select("key", "cid", "asks"), 2 * found.count() <= BROADCAST_ASKS
+    texts = with_texts(docs, asks if small else store(asks, "substring-asks"), small).select("text", "cid", "asks")
 
     def slices(batches):
         for batch in small_batches(batches):
