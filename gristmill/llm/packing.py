@@ -16,7 +16,9 @@ repeated rows are packed each; a null doc_id is carried along.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable
 
@@ -28,22 +30,16 @@ from pyspark.sql import functions as F
 from .common import id_and_text, kept, resolved, scratch, small_batches, store
 
 CAPACITY = 2048
-#: Chunks of text whose ids one Python process keeps.
-CACHE = 300_000
 #: Rows that one ranking window should hold.
 WINDOW_ROWS = 2000
 
 
-class Encoder(dict):
+class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    A chunk between two single spaces gets the same ids wherever it stands, as
-    no token spans a space inside; so ids of chunks are kept.  Texts that hold
-    other white space around spaces are encoded whole; texts that may hold a
-    special token are left to the tokenizer itself."""
+    Texts that may hold a special token are left to the tokenizer itself."""
 
     def __init__(self, path: str, ranks: str):
-        super().__init__()
         import base64
 
         import public_tokenizers
@@ -55,27 +51,11 @@ class Encoder(dict):
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def plain(self, text: str) -> bytes:
-        return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def __missing__(self, chunk: str):
-        if len(self) >= CACHE:
-            self.clear()
-        out = None if not chunk or chunk[0].isspace() or chunk[-1].isspace() else self.plain(" " + chunk)
-        if len(chunk) < 100:
-            self[chunk] = out
-        return out
-
     def encode(self, text: str) -> bytes:
-        if "<|" in text:
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        first, *rest = text.split(" ")
-        if rest and (not first or first[-1].isspace()):
-            return self.plain(text)
-        got = list(map(self.__getitem__, rest))
-        if None in got:
-            return self.plain(text)
-        return self.plain(first) + b"".join(got)
+        ids = array("I", self.whole.encode(text, add_special_tokens=False).ids if "<|" in text else self.fast.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
