@@ -58,8 +58,8 @@ VERIFY_COST, RARE_MATCHES = 20.0, 0.1
 SHORT = 8
 #: Postings of one frequent shingle that one group holds.
 SALTED = 50_000
-#: Members of a long list that one group compares with others.
-BLOCK = 4096
+#: Members of a long list that meet others as one block, and among which each member's nearest is sought.
+BLOCK, NEAREST = 512, 2048
 #: Comparisons left over for which another round of nearest members is worth its while.
 PATIENCE = 10_000_000_000
 #: Long lists whose numbers a member carries along.
@@ -527,7 +527,7 @@ def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
         if not work or (left_over is not None and (work < PATIENCE or work > 0.9 * left_over)):
             break
         left_over = work
-        mixed = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.ceil(F.col("total") / BLOCK)))
+        mixed = rows.withColumn("block", F.pmod(F.xxhash64("x"), F.ceil(F.col("total") / NEAREST)))
         tried = mixed.groupBy("token", "block").applyInArrow(nearest, "x bigint, y bigint").distinct()
         tried = store(tried.join(counted.where("done"), ["x", "y"], "left_anti"), "join-nearest")
         counted = counted.unionByName(tried.select("x", "y", F.lit(0).alias("matches"), F.lit(0).alias("need"), F.lit(True).alias("room"), F.lit(True).alias("done")))

@@ -125,7 +125,7 @@ def brute_components(rows):
 
 @pytest.mark.parametrize("frequent,short,lists,salted,block", [(16, 8, 128, 50_000, 4096), (2, 2, 128, 50_000, 3), (2, 2, 3, 6, 5), (1, 1, 2, 2, 2)])
 def test_ngram_join(spark, monkeypatch, frequent, short, lists, salted, block):
-    for name, value in (("LISTS", lists), ("FREQUENT", frequent), ("SHORT", short), ("SALTED", salted), ("BLOCK", block)):
+    for name, value in (("LISTS", lists), ("FREQUENT", frequent), ("SHORT", short), ("SALTED", salted), ("BLOCK", block), ("NEAREST", block)):
         monkeypatch.setattr(ngram_join, name, value)
     texts = texts_with_copies(2)
     rng = random.Random(21)
