@@ -470,3 +470,18 @@ def clean_and_dirty(spark, sf_dir):
     text = F.when(F.col("c_custkey") % 10 == 0, dirty).otherwise(clean)
     schema = struct(S.required("id", LONG), S.required("name", TEXT), S.required("balance", REAL))
     return read_back(load(spark, sf_dir, "customer"), text, schema, "fuzzy")
+
+
+@query("SELECT n_nationkey, '{\"source\":{\"type\":\"direct\"},\"confidence\":0.9025,\"score\":11,\"transformations\":[{\"type\":\"first_match\",\"penalty\":1,\"index\":0,\"total\":2},{\"type\":\"first_match\",\"penalty\":1,\"index\":1,\"total\":2}],\"transformation_count\":2,\"max_transformation_depth\":0}' AS explanation FROM nation")
+def explanations_of_changes(spark, sf_dir):
+    """The account of a value that was read by position."""
+    df = load(spark, sf_dir, "nation").select("n_nationkey", from_messy_json(fmt('[{}, "{}"]', *N_COLUMNS), ID_NAME).alias("m"))
+    return df.select("n_nationkey", explanation(F.col("m.winner")).alias("explanation"))
+
+
+@query("SELECT n_nationkey::BIGINT AS id, (n_nationkey % 3)::VARCHAR AS grade, CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END AS open FROM nation")
+def enum_of_numbers(spark, sf_dir):
+    """Variants that are matched by numbers and booleans."""
+    df = load(spark, sf_dir, "nation").withColumn("grade", F.col("n_nationkey") % 3).withColumn("open", F.col("n_nationkey") % 2 == 0)
+    schema = struct(S.required("id", LONG), S.enum("grade", "0", "1", "2"), S.enum("open", "true", "false"))
+    return read_back(df, fmt('{{"id": {}, "grade": {}, "open": {}}}', "n_nationkey", "grade", "open"), schema, "fuzzy")
