@@ -19,7 +19,7 @@ no other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import distinct_ids, fresh, id_and_text, parts, pick, scratch, store
@@ -34,10 +34,13 @@ NO_ID = -(1 << 63)
 
 
 def build_directory(loads: dict[int, int], capacity: int) -> tuple[int, list[int]]:
-    """(global depth, slots): loads[prefix of DEPTH bits] is what the keys with this prefix weigh."""
+    """(global depth, slots): loads[prefix of DEPTH bits] is what the keys with this prefix weigh.
+
+    A bucket is not split where one prefix has all its load, as that would not lighten it."""
     total = np.zeros((1 << DEPTH) + 1, dtype=np.int64)
     for prefix, n in loads.items():
         total[prefix + 1] = n
+    several = np.cumsum(total > 0)
     total = np.cumsum(total)
     depth, slots = 0, [0]
     buckets = [(0, 0)]  # local depth, leading bits
@@ -46,7 +49,8 @@ def build_directory(loads: dict[int, int], capacity: int) -> tuple[int, list[int
         b = work.pop()
         local, bits = buckets[b]
         width = 1 << (DEPTH - local)
-        if total[(bits + 1) * width] - total[bits * width] <= capacity or local == DEPTH:
+        low, high = bits * width, (bits + 1) * width
+        if total[high] - total[low] <= capacity or several[high] - several[low] <= 1:
             continue
         if local == depth:
             slots = [s for s in slots for _ in (0, 1)]
@@ -60,20 +64,14 @@ def build_directory(loads: dict[int, int], capacity: int) -> tuple[int, list[int
     return depth, slots
 
 
-def bucket_of(prefix: Column, depth: int, slots: list[int]) -> Column:
-    """The bucket of a prefix, looked up in the directory."""
-    if depth == 0:
-        return F.lit(0)
-    return F.element_at(F.lit(slots), F.shiftright(prefix, DEPTH - depth) + 1)
-
-
 def index_copies(rows: DataFrame, keys: DataFrame, capacity: int | None = None) -> DataFrame:
     """key, bucket, n_links, size, keep (the greatest doc_id): the chains of the keys (key, bytes) that occur twice or more in rows (doc_id, text, key)."""
     spark = rows.sparkSession
     prefix = F.conv(F.substring("key", 1, DEPTH // 4), 16, 10).cast("int")
     loads = {r["prefix"]: r["n"] for r in keys.groupBy(prefix.alias("prefix")).agg(F.sum(F.col("bytes") + ENTRY).alias("n")).collect()}
     depth, slots = build_directory(loads, capacity or min(CAPACITY, 1 + sum(loads.values()) // (4 * parts(spark))))
-    index = keys.select("key", bucket_of(prefix, depth, slots).alias("bucket"))
+    directory = spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int")
+    index = keys.select("key", F.shiftright(prefix, DEPTH - depth).alias("slot")).join(F.broadcast(directory), "slot").select("key", "bucket")
     found = rows.join(F.broadcast(index) if keys.count() <= BROADCAST_ENTRIES else index, "key")
     # copies meet before they travel; then all links of a bucket come to its owner, which lays their chains
     links = found.groupBy("bucket", "key", "text").agg(F.count("*").alias("size"), F.max(F.coalesce("doc_id", F.lit(NO_ID))).alias("keep"))
