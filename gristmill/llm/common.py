@@ -189,10 +189,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     shared folder, until no label changes; the number of rounds grows with the
     logarithm of the longest path, and a hub is pre-aggregated by the partial
     minimum before each shuffle."""
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = store(edges, tag)
+    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if edges.count() <= FEW_EDGES:
         return store(edges.coalesce(1).mapInArrow(union_find, "id bigint, root bigint"), tag)
+    edges = store(edges.distinct(), tag)
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = store(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("root")), tag)
     while True:

@@ -35,14 +35,12 @@ unless all its rows have none; other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, distinct_ids, drop, id_and_text, lean, parts, pick, scratch, small_batches, store, work_dir
+from .common import components, distinct_ids, drop, id_and_text, lean, parts, pick, scratch, small_batches, store
 from .textkernel import set_key, shingle_sets
 
 K = 5
@@ -118,9 +116,9 @@ def spill(found: list[np.ndarray], buckets: int):
             yield b, planes(np.diff(own, prepend=np.uint64(b * width)).astype("<u4"))
 
 
-def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFrame, DataFrame]:
+def describe(docs: DataFrame, k: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """Reads docs once: (doc_id, key, n, cid, bits) of each row, and the shingles' hashes by bucket."""
-    spark, names = docs.sparkSession, ["kind", "doc_id", "key", "n", "cid", "blob"]
+    names = ["doc_id", "key", "n", "cid", "bits", "bucket", "blob"]
 
     def run(batches):
         held, count = [], 0
@@ -132,7 +130,8 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
                 cids.append(set_key(s))
                 held.append(s >> np.uint64(64 - BITS))
                 count += len(s)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(ns), pa.int32()), batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(signed(np.array(cids, dtype=np.uint64))), pa.array(bits, pa.binary())], names)
+            none = [pa.nulls(len(ns), kind) for kind in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(ns, pa.int64()), pa.array(signed(np.array(cids, dtype=np.uint64))), pa.array(bits, pa.binary()), *none], names)
             if count >= HELD:
                 yield from blobs(held)
                 held, count = [], 0
@@ -141,13 +140,12 @@ def describe(docs: DataFrame, k: int, buckets: int, path: str) -> tuple[DataFram
 
     def blobs(held):
         got = list(spill(held, buckets))
-        none = pa.nulls(len(got), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(got), pa.int32()), none, none, pa.array([b for b, _ in got], pa.int64()), none, pa.array([x for _, x in got], pa.binary())], names)
+        none = [pa.nulls(len(got), kind) for kind in (*[pa.int64()] * 4, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names)
 
-    schema = "doc_id bigint, key bigint, n bigint, cid bigint, blob binary"
-    docs.mapInArrow(run, f"kind int, {schema}").write.partitionBy("kind").parquet(path)
-    read = spark.read.schema(f"{schema}, kind int").parquet(path)
-    return read.where("kind = 0").select("doc_id", "key", "n", "cid", F.col("blob").alias("bits")), read.where("kind = 1").select(F.col("n").cast("int").alias("bucket"), "blob")
+    # rows and blobs have columns of their own, so that each is read alone
+    found = store(docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, cid bigint, bits binary, bucket int, blob binary"), "join-rows")
+    return found.where("bucket is null").select("doc_id", "key", "n", "cid", "bits"), found.where("bucket is not null").select("bucket", "blob")
 
 
 def frequent(blobs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,9 +342,9 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     stars = with_degree.select(hub.alias("hub"), other.alias("cid"), F.pmod(F.xxhash64(other), F.ceil(salts)).alias("salt"))
     members = stars.union(stars.select("hub", F.col("hub").alias("cid"), "salt")).distinct()
     wanted = members.groupBy("cid").agg(F.collect_list(F.struct("hub", "salt")).alias("groups"))
-    wanted = store(wanted.join(classes.select("cid", "key"), "cid").select("key", "cid", "groups"), "join-wanted")
-    places = wanted.agg(F.sum(F.size("groups"))).first()[0] or 0
-    texts = docs.join(F.broadcast(wanted) if places <= BROADCAST_PLACES else wanted, "key")
+    wanted = wanted.join(classes.select("cid", "key"), "cid").select("key", "cid", "groups")
+    few = 2 * pairs.count() <= BROADCAST_PLACES  # a pair has a place for its hub at most, and one for the other
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "key")
 
     def sets(batches):
         sent = set()
@@ -468,7 +466,7 @@ def across(rows: DataFrame, counted: DataFrame, label: DataFrame) -> DataFrame:
     lists = store(lists, "join-lists")
     blocks = rows.groupBy("token", "block").agg(F.count_if(~F.col("in_big")).alias("small"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     before = F.sum("small").over(Window.partitionBy("token").orderBy("block")) - F.col("small")
-    blocks = store(blocks.withColumn("part", F.floor(before / BLOCK)), "join-blocks")
+    blocks = blocks.withColumn("part", F.floor(before / BLOCK))
     small = blocks.where("small > 0")
     parts_of = small.groupBy("token", "part").agg(F.min("lo").alias("p_lo"), F.max("hi").alias("p_hi"), F.max("rest").alias("p_rest"))
     can = F.least("p_hi", "hi") * DENOMINATOR >= F.greatest("p_lo", "lo") * NUMERATOR
@@ -499,14 +497,10 @@ def across(rows: DataFrame, counted: DataFrame, label: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows, label): doc_id, n, cid of every row; id (a cid), root of every class that links with another."""
-    spark = docs.sparkSession
     docs = located(docs)
     buckets = n_buckets(docs)
-    described = f"{work_dir(spark)}/join-rows-{uuid.uuid4().hex}"
-    rows_of, blobs = describe(docs, k, buckets, described)
+    rows_of, blobs = describe(docs, k, buckets)
     hot = frequent(blobs, buckets)
-    blobs.stored_at = f"{described}/kind=1"
-    drop(blobs)
     classes = rows_of.where("n > 0").groupBy("cid").agg(F.min("key").alias("key"), F.first("bits").alias("bits"))
 
     columns = ", ".join(f"{f.name} {SQL_NAMES[f.type]}" for f in MATCHES)
