@@ -71,8 +71,7 @@ def lean(heavy: str | None = None) -> None:
     """Drops what else is kept and heavy from this Python worker, which Spark uses again and again, and makes it
     give large arrays back to the system when it frees them, where the C library can."""
     others = sys.__dict__.setdefault("_gristmill_heavy", {})
-    for name in [n for n in others if n != heavy]:
-        del others[name]
+    dropped = [others.pop(name) for name in list(others) if name != heavy]
 
     def make():
         try:
@@ -82,6 +81,12 @@ def lean(heavy: str | None = None) -> None:
         return True
 
     kept("lean", make)
+    if dropped:
+        dropped.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass
 
 
 def small_batches(batches, column: str = "text", heavy: str | None = None):

@@ -21,6 +21,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +38,26 @@ WINDOW_ROWS = 2000
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    Texts that may hold a special token are left to the tokenizer itself."""
+    Texts that may hold a special token are left to the tokenizer itself, which
+    is read when the first of them comes."""
 
     def __init__(self, path: str, ranks: str):
         import base64
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         ids = array("I", self.whole.encode(text, add_special_tokens=False).ids if "<|" in text else self.fast.encode_ordinary(text))
         if sys.byteorder == "big":
