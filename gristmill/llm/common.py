@@ -38,7 +38,7 @@ _scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -65,13 +65,13 @@ LISTS = 128
 #: Members that one verification group holds, beside its hub.
 GROUP = 256
 #: Bytes of sets that a worker hands over at once.
-SETS = 1 << 22
+SETS = 1 << 21
 #: Places in verification groups (16 bytes each) that are broadcast to pick documents out; more are joined by a shuffle.
 BROADCAST_PLACES = 250_000
 #: Bytes of input for each range of the hash space, and ranges at most.
 RANGE_BYTES, MOST_RANGES = 1 << 22, 1 << 18
 #: Shingles a task holds before it writes them out.
-HELD = 1_000_000
+HELD = 500_000
 BITS = 40
 SQL_NAMES = {pa.int64(): "bigint", pa.int32(): "int", pa.bool_(): "boolean"}
 
@@ -342,7 +342,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int) -> Dat
     stars = with_degree.select(hub.alias("hub"), other.alias("cid"), F.pmod(F.xxhash64(other), F.ceil(salts)).alias("salt"))
     members = stars.union(stars.select("hub", F.col("hub").alias("cid"), "salt")).distinct()
     wanted = members.groupBy("cid").agg(F.collect_list(F.struct("hub", "salt")).alias("groups"))
-    wanted = wanted.join(classes.select("cid", "key"), "cid").select("key", "cid", "groups")
+    wanted = store(wanted.join(classes.select("cid", "key"), "cid").select("key", "cid", "groups"), "join-wanted")
     few = 2 * pairs.count() <= BROADCAST_PLACES  # a pair has a place for its hub at most, and one for the other
     texts = docs.join(F.broadcast(wanted) if few else wanted, "key")
 
