@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import sys
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -67,9 +68,13 @@ def scratch(spark: SparkSession):
         remove(spark, folder)
 
 
+#: Seconds after which a worker that goes on with its groups gives back again what it has freed.
+GIVE_BACK = 2.0
+
+
 def lean(heavy: str | None = None) -> None:
     """Drops what else is kept and heavy from this Python worker, which Spark uses again and again, and makes it
-    give large arrays back to the system when it frees them, where the C library can."""
+    give back to the system what it frees: large arrays at once, where the C library can, the rest now and then."""
     others = sys.__dict__.setdefault("_gristmill_heavy", {})
     dropped = [others.pop(name) for name in list(others) if name != heavy]
 
@@ -81,12 +86,19 @@ def lean(heavy: str | None = None) -> None:
         return True
 
     kept("lean", make)
-    if dropped:
+    if dropped or time.monotonic() - sys.__dict__.get("_gristmill_gave", 0.0) > GIVE_BACK:
         dropped.clear()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass
+        give_back()
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow and the C library hold for later: a worker keeps it between tasks otherwise."""
+    sys.__dict__["_gristmill_gave"] = time.monotonic()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def small_batches(batches, column: str = "text", heavy: str | None = None):
@@ -99,6 +111,8 @@ def small_batches(batches, column: str = "text", heavy: str | None = None):
         else:
             for at in range(0, batch.num_rows, rows):
                 yield batch.slice(at, rows)
+        del batch
+    give_back()
 
 
 def work_dir(spark: SparkSession) -> str:

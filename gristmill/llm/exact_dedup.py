@@ -19,6 +19,7 @@ no other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,8 @@ def index_copies(rows: DataFrame, keys: DataFrame, capacity: int | None = None)
     prefix = F.conv(F.substring("key", 1, DEPTH // 4), 16, 10).cast("int")
     loads = {r["prefix"]: r["n"] for r in keys.groupBy(prefix.alias("prefix")).agg(F.sum(F.col("bytes") + ENTRY).alias("n")).collect()}
     depth, slots = build_directory(loads, capacity or min(CAPACITY, 1 + sum(loads.values()) // (4 * parts(spark))))
-    directory = spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int")
+    # from Arrow: of a list, executors would start Python workers of another kind, which stay beside those of the operators
+    directory = spark.createDataFrame(pa.table({"slot": pa.array(range(len(slots)), pa.int32()), "bucket": pa.array(slots, pa.int32())}))
     index = keys.select("key", F.shiftright(prefix, DEPTH - depth).alias("slot")).join(F.broadcast(directory), "slot").select("key", "bucket")
     found = rows.join(F.broadcast(index) if keys.count() <= BROADCAST_ENTRIES else index, "key")
     # copies meet before they travel; then all links of a bucket come to its owner, which lays their chains

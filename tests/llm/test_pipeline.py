@@ -2,11 +2,13 @@
 
 import os
 import random
+import subprocess
+import sys
 
 import pytest
 
 import corpus_pipeline
-from gristmill.llm import queries
+from gristmill.llm import exact_dedup, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -101,3 +103,46 @@ def test_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
             assert corpus_pipeline.run(spark, str(tmp_path / "in"), folder).count() == 12
     assert done == [n for n, _ in stages]
     assert [p.name for p in (tmp_path / "work").iterdir()] == ["4-packing"]
+
+
+def test_copies_are_found_without_python_workers(spark, monkeypatch):
+    """What exact_dedup makes on the driver starts no Python worker of another kind on the executors, where it would stay."""
+    made, create = [], type(spark).createDataFrame
+
+    def watched(self, *args, **options):
+        made.append(create(self, *args, **options))
+        return made[-1]
+
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string").localCheckpoint()
+    monkeypatch.setattr(type(spark), "createDataFrame", watched)
+    assert {r.doc_id for r in exact_dedup.keep_one(docs).collect()} == {2, 3}
+    assert made and not any("PythonRDD" in df._jdf.queryExecution().toRdd().toDebugString() for df in made)
+
+
+GIVES_BACK = """
+import re
+import pyarrow as pa
+from gristmill.llm.common import small_batches
+
+def held():
+    return int(re.search(r"Anonymous: +(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batch(n):
+    return pa.RecordBatch.from_arrays([pa.array(["x" * 100] * n)], ["text"])
+
+def read(n):
+    for b in small_batches(iter([batch(n)])):
+        [str(i) * 20 for i in range(b.num_rows)]
+        [pa.array([bytes(1000)]) for _ in range(b.num_rows)]
+
+read(10)
+before = held()
+read(200_000)
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_a_worker_gives_back_what_a_task_held():
+    got = subprocess.run([sys.executable, "-c", GIVES_BACK], capture_output=True, text=True, check=True).stdout
+    assert float(got) < 16
